@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import bpe, decontam, langid, simhash, tokenbin
 
 QUERIES = {
+    "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op3_token_binary": tokenbin.op3_token_binary,
+    "op5_bpe": bpe.op5_bpe,
+    "op6_language_id": langid.op6_language_id,
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
 }
 
