@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, simhash, tokenbin
+from . import bpe, decontam, embdedup, langid, licenses, simhash, tokenbin, urlfilter
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_token_binary": tokenbin.op3_token_binary,
     "op5_bpe": bpe.op5_bpe,
     "op6_language_id": langid.op6_language_id,
+    "op7_url_filters": urlfilter.op7_url_filters,
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
+    "op10_embedding_near_dedup": embdedup.op10_embedding_near_dedup,
 }
 
 ORACLE_SQL = {
     "op9_benchmark_decontamination": decontam.ORACLE,
+    "op10_embedding_near_dedup": embdedup.ORACLE,
 }
