@@ -236,3 +236,35 @@ def write_store(packs: DataFrame, folder: str, shards: int, reduce: Callable, fi
 
 def drop_folder(folder: str) -> None:
     shutil.rmtree(folder, ignore_errors=True)
+
+
+def store_rows(rows: DataFrame, folder: str, shards: int, columns: dict[str, str], key: str = "key") -> int:
+    """Write a store from rows (an action); columns gives each value column's numpy type. Rows in all.
+
+    Of rows with equal keys one stays.
+    """
+
+    def place(batches):
+        for batch in batches:
+            k = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard_of(k, shards), pa.int32())], names=[*batch.schema.names, "shard"])
+
+    schema = T.StructType([rows.schema[key], *[rows.schema[c] for c in columns], T.StructField("shard", T.IntegerType())])
+
+    def run(batches):
+        whole = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if whole is None or not whole.num_rows:
+            return
+        shard = whole.column("shard").to_numpy()
+        k = whole.column(key).to_numpy().astype(np.int64).view(U64)
+        for s in np.unique(shard):
+            at = np.flatnonzero(shard == s)
+            at = at[np.argsort(k[at], kind="stable")]
+            at = at[np.r_[True, k[at][1:] != k[at][:-1]]]
+            write_shard(folder, int(s), {"key": k[at], **{c: whole.column(c).to_numpy()[at].astype(t) for c, t in columns.items()}})
+            yield pa.RecordBatch.from_arrays([pa.array([len(at)], pa.int64())], names=["n"])
+
+    placed = rows.select(key, *columns).mapInArrow(place, schema).repartitionById(shards, "shard")
+    from pyspark.sql import functions as F
+
+    return placed.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0

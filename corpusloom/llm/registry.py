@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, embdedup, langid, licenses, simhash, tokenbin, urlfilter
+from . import bpe, decontam, embdedup, langid, licenses, simhash, suffixdedup, tokenbin, urlfilter
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op6_language_id": langid.op6_language_id,
     "op7_url_filters": urlfilter.op7_url_filters,
+    "op8_suffix_dedup": suffixdedup.op8_suffix_dedup,
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
     "op10_embedding_near_dedup": embdedup.op10_embedding_near_dedup,
 }
