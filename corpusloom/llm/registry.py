@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, embdedup, langid, licenses, simhash, suffixdedup, tokenbin, urlfilter
+from . import bpe, decontam, embdedup, langid, licenses, lmscore, simhash, suffixdedup, tokenbin, urlfilter
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_token_binary": tokenbin.op3_token_binary,
+    "op4_lm_scoring": lmscore.op4_lm_scoring,
     "op5_bpe": bpe.op5_bpe,
     "op6_language_id": langid.op6_language_id,
     "op7_url_filters": urlfilter.op7_url_filters,
