@@ -41,6 +41,13 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
 
 
+def slices(batch: pa.RecordBatch, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about size bytes, one row at least, so that Python holds few texts at a time."""
+    rows = max(1, int(size * batch.num_rows / max(1, batch.nbytes)))
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]], keep: list[str] | None = None) -> DataFrame:
     """Rows of df (columns keep, all by default) with columns appended by Python.
 
@@ -54,8 +61,8 @@ def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], C
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in slices(whole):
                 new = [v if isinstance(v, pa.Array) else pa.array(v, arrow.field(f.name).type) for f, v in zip(fields, fn(batch), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).cast(arrow.field(c).type) for c in base] + new, schema=arrow)
 
@@ -137,7 +144,7 @@ def pack_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 class KeyCounter:
     """Counts 64-bit keys in bounded memory; flushes packs as it goes."""
 
-    def __init__(self, shards: int, limit: int = 3_000_000):
+    def __init__(self, shards: int, limit: int = 1_500_000):
         self.shards, self.limit, self.parts, self.n = shards, limit, [], 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:

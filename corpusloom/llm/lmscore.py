@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.session import materialize, table, work_dir
-from .common import PACKS, KeyCounter, Store, add_columns, local_path, pack_sorted, sum_sorted, tasks, texts_of, unpack_sorted, write_shard, write_store
+from .common import PACKS, KeyCounter, Store, add_columns, local_path, pack_sorted, slices, sum_sorted, tasks, texts_of, unpack_sorted, write_shard, write_store
 
 U64 = np.uint64
 END = xxhash.xxh64_intdigest(b"\n")  # no word holds a line feed
@@ -109,10 +109,11 @@ def train(docs: DataFrame, text: str = "text") -> dict:
 
     def count_words(batches):
         counter, known = KeyCounter(shards), Hashes()
-        for batch in batches:
-            ts = texts_of(batch, "text")
-            for i, j in runs(ts):
-                yield from counter.add(token_hashes(ts[i:j], known)[0])
+        for whole in batches:
+            for batch in slices(whole):
+                ts = texts_of(batch, "text")
+                for i, j in runs(ts):
+                    yield from counter.add(token_hashes(ts[i:j], known)[0])
         yield from counter.flush()
 
     def keep_words(shard, keys, counts):
@@ -126,12 +127,13 @@ def train(docs: DataFrame, text: str = "text") -> dict:
 
     def count_pairs(batches):
         counter, known, vocab = KeyCounter(shards), Hashes(), Vocabulary(model, VOCAB)
-        for batch in batches:
-            ts = texts_of(batch, "text")
-            for i, j in runs(ts):
-                hashes, size = token_hashes(ts[i:j], known)
-                ids = vocab.find(hashes)[1]
-                yield from counter.add(pair_keys(ids, size, v))
+        for whole in batches:
+            for batch in slices(whole):
+                ts = texts_of(batch, "text")
+                for i, j in runs(ts):
+                    hashes, size = token_hashes(ts[i:j], known)
+                    ids = vocab.find(hashes)[1]
+                    yield from counter.add(pair_keys(ids, size, v))
         yield from counter.flush()
 
     stats = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("pack", T.BinaryType())])

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.session import materialize, table, work_dir
-from .common import PACKS, KeyCounter, Store, add_columns, local_path, store_rows, tasks, texts_of, write_store
+from .common import PACKS, KeyCounter, Store, add_columns, local_path, slices, store_rows, tasks, texts_of, write_store
 
 WIDTH, GRAM = 50, 24
 LEFT = WIDTH - GRAM  # an anchor lies at offsets 0 to LEFT of a string
@@ -206,7 +206,10 @@ def repeated(rows: np.ndarray, nl: np.ndarray, nr: np.ndarray, doc: np.ndarray)
     return mask
 
 
-CTX = T.StructType([T.StructField(n, t) for n, t in (("gram", T.LongType()), ("lead", T.BinaryType()), ("key", T.LongType()), ("check", T.LongType()), ("doc", T.LongType()), ("many", T.BooleanType()), ("nl", T.IntegerType()), ("nr", T.IntegerType()), ("context", T.BinaryType()))])
+# A context travels as its bytes and the two sides' lengths; many: several documents of the task have it.
+CTX = T.StructType([T.StructField("doc", T.LongType()), T.StructField("many", T.BooleanType()), T.StructField("context", T.BinaryType())])
+LEAD = f"substring(context, {LEFT + 1}, {GRAM})"
+HELD = 150_000  # contexts that a task holds back to drop repeated ones
 VERDICT = "key long, check long, doc long, mask long"
 
 
@@ -246,9 +249,10 @@ def _dedup_store(docs: DataFrame, hot_group: int) -> dict:
     # 2: anchors met more than once
     def count(batches):
         counter = KeyCounter(shards)
-        for batch in batches:
-            for _, texts, _ in _some(*singles(batch)):
-                yield from counter.add(Batch(texts).keys())
+        for whole in batches:
+            for batch in slices(whole):
+                for _, texts, _ in _some(*singles(batch)):
+                    yield from counter.add(Batch(texts).keys())
         yield from counter.flush()
 
     def twice(shard, keys, counts):
@@ -260,28 +264,49 @@ def _dedup_store(docs: DataFrame, hot_group: int) -> dict:
     # 3: contexts of those
     def contexts(batches):
         seen = Store(f"{where}/grams", shards, {})
-        for batch in batches:
-            for _, texts, ids in _some(*singles(batch)):
-                b = Batch(texts)
-                at = np.flatnonzero(seen.find(b.keys())[0])
-                if not len(at):
-                    continue
-                doc = np.array(ids, np.int64)[b.doc[at]]
-                rows, nl, nr = b.contexts(at)
-                key, check = context_keys(rows, nl, nr)
-                o = np.lexsort((doc, check, key))
-                first = np.flatnonzero(np.r_[True, (key[o][1:] != key[o][:-1]) | (check[o][1:] != check[o][:-1])])
-                many = np.diff(np.r_[first, len(o)]) > 1
-                s = o[first]
-                gram = b.keys()[at][s].astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram), pa.array([r.tobytes() for r in rows[s, LEFT : LEFT + GRAM]], pa.binary()), pa.array(key[s].view(np.int64)), pa.array(check[s].astype(np.int64)), pa.array(doc[s]), pa.array(many), pa.array(nl[s].astype(np.int32)), pa.array(nr[s].astype(np.int32)), pa.array([r.tobytes() for r in rows[s]], pa.binary())],
-                    schema=to_arrow(CTX),
-                )
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def put():
+            doc, many, rows, key, check = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            o = np.lexsort((doc, check, key))
+            first = np.flatnonzero(np.r_[True, (key[o][1:] != key[o][:-1]) | (check[o][1:] != check[o][:-1])])
+            many = (np.diff(np.r_[first, len(o)]) > 1) | np.logical_or.reduceat(many[o], first)
+            s = o[first]
+            return doc[s], many, rows[s], key[s], check[s]
+
+        def send(doc, many, rows, key, check):
+            size = rows.shape[1]
+            packed = pa.Array.from_buffers(pa.binary(size), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows).tobytes())]).cast(pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(many), packed], names=CTX.names)
+
+        n = 0
+        for whole in batches:
+            for batch in slices(whole):
+                for _, texts, ids in _some(*singles(batch)):
+                    b = Batch(texts)
+                    at = np.flatnonzero(seen.find(b.keys())[0])
+                    if not len(at):
+                        continue
+                    rows, nl, nr = b.contexts(at)
+                    key, check = context_keys(rows, nl, nr)
+                    sides = np.stack([nl, nr], 1).astype(np.uint8)
+                    held.append((np.array(ids, np.int64)[b.doc[at]], np.zeros(len(at), bool), np.concatenate([rows, sides], 1), key, check))
+                    n += len(at)
+                    if n > 2 * HELD:
+                        merged = put()
+                        n = len(merged[0])
+                        if n > HELD:
+                            yield send(*merged)
+                            n = 0
+                        else:
+                            held.append(merged)
+        if held:
+            yield send(*put())
 
     ctx = materialize(docs.mapInArrow(contexts, CTX), "suffix-contexts")
     n = ctx.count()
-    hot = ctx.groupBy("gram").count().where(F.col("count") > hot_group).select(F.col("gram").alias("hot"))
+    hot = ctx.groupBy(F.expr(LEAD).alias("hot")).count().where(F.col("count") > hot_group).select("hot")
     hot = materialize(hot, "suffix-hot")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 100_000 + 1)
 
@@ -290,25 +315,41 @@ def _dedup_store(docs: DataFrame, hot_group: int) -> dict:
         if not got:
             return
         t = pa.Table.from_batches(got)
-        col = lambda c: t.column(c).to_numpy()
-        raw = t.column("context").combine_chunks()
-        rows = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, LEFT + WIDTH)
-        mask = repeated(rows, col("nl").astype(np.int64), col("nr").astype(np.int64), col("doc"))
-        yield pa.RecordBatch.from_arrays(_verdicts(col("key"), col("check"), col("doc"), col("many").astype(bool), mask), names=["key", "check", "doc", "mask"])
+        doc, many = t.column("doc").to_numpy(), t.column("many").to_numpy()
+        rows, nl, nr = _unpack(t.column("context").to_pylist())
+        mask = repeated(rows, nl, nr, doc)
+        key, check = context_keys(rows, nl, nr)
+        yield pa.RecordBatch.from_arrays(_verdicts(key.view(np.int64), check.astype(np.int64), doc, many, mask), names=["key", "check", "doc", "mask"])
 
     if hot.isEmpty():
-        verdicts = ctx.repartitionByRange(parts, "lead").mapInArrow(compare, VERDICT)
+        verdicts = ctx.repartitionByRange(parts, F.expr(LEAD)).mapInArrow(compare, VERDICT)
     else:
-        cold = ctx.join(hot, ctx["gram"] == hot["hot"], "left_anti").select(CTX.names)
-        verdicts = cold.repartitionByRange(parts, "lead").mapInArrow(compare, VERDICT).unionByName(_hot_verdicts(ctx.join(hot, ctx["gram"] == hot["hot"], "left_semi").select(CTX.names)))
+        lead = F.expr(LEAD) == F.col("hot")
+        cold = ctx.join(hot, lead, "left_anti").repartitionByRange(parts, F.expr(LEAD)).mapInArrow(compare, VERDICT)
+        verdicts = cold.unionByName(_hot_verdicts(ctx.join(hot, lead, "left_semi")))
     store_rows(verdicts, f"{where}/verdicts", shards, {"check": "<u4", "doc": "<i8", "mask": "<u4"})
     return spec
 
 
+def _unpack(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes and the sides' lengths of packed contexts."""
+    raw = np.frombuffer(b"".join(contexts), np.uint8).reshape(-1, LEFT + WIDTH + 2)
+    return raw[:, :-2], raw[:, -2].astype(np.int64), raw[:, -1].astype(np.int64)
+
+
 def _hot_verdicts(ctx: DataFrame) -> DataFrame:
     """The same verdicts for anchors with very many contexts: every string on its own row, the smallest document by a grouped minimum."""
-    one = ctx.groupBy("key", "check", "nl", "nr", "context").agg(F.min("doc").alias("doc"), (F.count("*") > 1).alias("again"), F.max("many").alias("many"))
-    one = materialize(one, "suffix-hot-contexts")
+    one = ctx.groupBy("context").agg(F.min("doc").alias("doc"), (F.count("*") > 1).alias("again"), F.max("many").alias("many"))
+    side = lambda i: F.conv(F.hex(F.expr(f"substring(context, {i}, 1)")), 16, 10).cast("int")
+
+    def keyed(batches):
+        for batch in batches:
+            if batch.num_rows:
+                key, check = context_keys(*_unpack(batch.column(0).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key.view(np.int64)), pa.array(check.astype(np.int64))], names=["context", "doc", "again", "many", "key", "check"])
+
+    one = one.mapInArrow(keyed, "context binary, doc long, again boolean, many boolean, key long, check long")
+    one = materialize(one.withColumns({"nl": side(LEFT + WIDTH + 1), "nr": side(LEFT + WIDTH + 2)}), "suffix-hot-contexts")
     offsets = F.filter(F.sequence(F.lit(0), F.lit(LEFT)), lambda d: (d <= F.col("nl")) & (F.lit(WIDTH) - d <= F.col("nr")))
     strings = one.select("key", "check", "doc", F.explode(offsets).alias("d"), "context")
     strings = strings.select("key", "check", "doc", "d", F.expr(f"substring(context, {LEFT + 1} - d, {WIDTH})").alias("string"))
@@ -319,12 +360,6 @@ def _hot_verdicts(ctx: DataFrame) -> DataFrame:
     return out.where("again OR many OR m > 0").select("key", "check", "doc", F.coalesce("m", F.lit(0)).cast("long").alias("mask"))
 
 
-def to_arrow(schema):
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
 def _md5(text: bytes) -> tuple[int, int]:
     d = hashlib.md5(text, usedforsecurity=False).digest()
     return int.from_bytes(d[:8], "big"), int.from_bytes(d[8:], "big", signed=True)
