@@ -138,13 +138,18 @@ def _unsuppressed(spans: Column) -> Column:
     return F.aggregate(F.array_sort(keys), start, step, lambda acc: acc["out"])
 
 
+def _bind(value: Column, f) -> Column:
+    """f(value), with the value evaluated once even where f uses it in lambdas."""
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
+
 def _starts(ws: list[str]):
-    """Whether the words ws stand at place k of __w, counted from 1."""
+    """Whether the words ws stand at place k of the words w, counted from 1."""
 
-    def at(k):
-        hit = F.element_at("__w", k) == ws[0]
-        for j, w in enumerate(ws[1:], 1):
-            hit = hit & F.coalesce(F.get("__w", k - 1 + j) == w, F.lit(False))
+    def at(w, k):
+        hit = F.element_at(w, k) == ws[0]
+        for j, x in enumerate(ws[1:], 1):
+            hit = hit & F.coalesce(F.get(w, k - 1 + j) == x, F.lit(False))
         return hit
 
     return at
@@ -171,12 +176,12 @@ def scan(docs: DataFrame, text: str = "text", signatures: list[dict] | None = No
         ws = phrase.split()
         there = F.col("__t").contains(f" {phrase} ")
 
-        d = d.withColumn(f"__p{i}", F.when(there, F.filter(F.sequence(F.lit(1), F.size("__w")), _starts(ws))))
+        d = d.withColumn(f"__p{i}", F.when(there, _bind(F.col("__w"), lambda w, starts=_starts(ws): F.filter(F.sequence(F.lit(1), F.size(w)), lambda k: starts(w, k)))))
     d = d.withColumn("__places", F.concat(*[F.coalesce(F.col(f"__p{i}"), F.array().cast("array<int>")) for i in range(len(PHRASES))]))
     d = d.withColumn("__base", F.array_compact(F.array(*[F.when(F.size(f"__p{i}") > 0, F.lit(lab)) for i, lab in enumerate(PHRASES.values())])))
-    active = F.filter(known, lambda r: F.forall(r["keys"], lambda k: F.array_contains("__k", k)))
+    active = _bind(F.col("__k"), lambda ks: F.filter(known, lambda r: F.forall(r["keys"], lambda k: F.array_contains(ks, k))))
     spelled = F.regexp_replace("__t", " licence(?= )", " license")  # as long as it was
-    spans = F.flatten(F.array_compact(F.transform(active, lambda r: _spans(F.col("__s"), r["rx"], r["level"], r["ord"], r["label"], r["weight"]))))
+    spans = _bind(F.col("__s"), lambda t: F.flatten(F.array_compact(F.transform(active, lambda r: _spans(t, r["rx"], r["level"], r["ord"], r["label"], r["weight"])))))
     d = d.withColumn("__s", spelled).withColumn("__all", F.when(F.col("__s").isNotNull(), spans))
     d = d.withColumn("__kept", F.when(F.size("__all") > 0, _unsuppressed(F.col("__all"))))
     kept = F.coalesce("__kept", F.array().cast("array<struct<s:int,ne:int,nl:int,ord:int,label:string,weight:double>>"))
