@@ -70,9 +70,9 @@ def tfidf(docs: DataFrame, doc_id: str = "doc_id", text: str = "norm", min_df: i
         df = df.orderBy(F.desc("total"), "term").limit(max_features)
     idf = df.select(F.col("term").alias("t"), "df", (F.log(F.lit(1.0 + n) / (1.0 + F.col("df"))) + 1).alias("idf"))
     w = rows.join(idf, F.col("term") == F.col("t")).select("doc_id", F.struct("df", "term", ((1 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w")).alias("e"))
-    vec = w.groupBy("doc_id").agg(F.array_sort(F.collect_list("e")).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
-    vec = vec.withColumn("n", norm).select("doc_id", F.transform("v", lambda e: F.struct(e["df"].alias("df"), e["term"].alias("term"), (e["w"] / F.col("n")).alias("w"))).alias("vec"))
+    # the norm is an aggregate of its own: inside the lambda it would be computed anew for every term
+    vec = w.groupBy("doc_id").agg(F.array_sort(F.collect_list("e")).alias("v"), F.sqrt(F.sum(F.col("e.w") * F.col("e.w"))).alias("n"))
+    vec = vec.select("doc_id", F.transform("v", lambda e: F.struct(e["df"].alias("df"), e["term"].alias("term"), (e["w"] / F.col("n")).alias("w"))).alias("vec"))
     return materialize(vec, "tfidf")
 
 
