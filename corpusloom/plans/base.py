@@ -77,7 +77,7 @@ tk AS (SELECT doc_id, ' ' || t || ' ' AS p, count(*) AS c FROM (SELECT doc_id, u
 g AS (SELECT doc_id, substr(p, i, n) AS term, c FROM tk, (VALUES (3), (4), (5)) AS s(n), unnest(range(1, greatest(1, len(p) - n + 2))) AS r(i) WHERE n <= len(p)),
 tf AS (SELECT doc_id, term, sum(c) AS tf FROM g GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2),
 w0 AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1.0::DOUBLE + (SELECT count(*) FROM d)) / (1.0::DOUBLE + df)) + 1) AS w FROM tf JOIN df USING (term)),
-nm AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM w0 GROUP BY 1), v AS (SELECT doc_id, term, w / n AS w FROM w0 JOIN nm USING (doc_id))"""
+nm AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM w0 GROUP BY 1), v AS MATERIALIZED (SELECT doc_id, term, w / n AS w FROM w0 JOIN nm USING (doc_id))"""
 
 
 def cells_sql(gold: str, pred: str, where: str = "true") -> str:

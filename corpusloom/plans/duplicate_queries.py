@@ -9,13 +9,15 @@ from ..operators import families, metrics, similarity
 from .base import LAB, SPLIT, VECS, D, cells_sql, documents, metric_sql, query, rounded, split_rows, with_all
 from .session import materialize, table
 
-PAIRS = "pr AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) AS s FROM v a JOIN v b ON a.term = b.term AND a.doc_id < b.doc_id WHERE a.doc_id IN (SELECT doc_id FROM d WHERE length(norm) >= 30) AND b.doc_id IN (SELECT doc_id FROM d WHERE length(norm) >= 30) GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.9 - 1e-8)"
+PAIRS = "pr AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) AS s FROM v a JOIN v b ON a.term = b.term AND a.doc_id < b.doc_id WHERE a.doc_id IN (SELECT doc_id FROM d WHERE length(norm) >= 30) AND b.doc_id IN (SELECT doc_id FROM d WHERE length(norm) >= 30) GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.9 - 1e-8)"
 LEAK = """
 lp AS (SELECT x.doc_id AS test_id, y.doc_id AS train_id, x.label AS test_label, y.label AS train_label, x.norm AS tn_, y.norm AS rn_, CASE WHEN x.norm = y.norm AND x.norm <> '' THEN 1.0 ELSE s END AS similarity, CASE WHEN x.norm = y.norm AND x.norm <> '' THEN 'normalized_exact' ELSE 'fuzzy' END AS match_kind
 FROM sp x JOIN sp y ON x.split = 'test' AND y.split = 'train' LEFT JOIN pr ON pr.a = least(x.doc_id, y.doc_id) AND pr.b = greatest(x.doc_id, y.doc_id) WHERE (x.norm = y.norm AND x.norm <> '') OR s IS NOT NULL),
 nr AS (SELECT sp.doc_id, sp.label, length(norm) >= 30 AS fuzzy_eligible, similarity AS max_train_similarity, train_id AS nearest_train_id, coalesce(match_kind, 'none') AS nearest_kind, coalesce(sp.label = train_label, false) AS same_label_as_nearest
 FROM sp LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY CASE WHEN match_kind = 'normalized_exact' THEN 0 ELSE 1 END, similarity DESC, train_id) AS r FROM lp) q ON q.test_id = sp.doc_id AND q.r = 1 WHERE split = 'test')"""
-BASE = f"WITH RECURSIVE {D}, {LAB}, {SPLIT}, {VECS}, {PAIRS}, {LEAK}"
+# leakage needs pairs of labelled documents only
+LABELLED_PAIRS = PAIRS.replace("WHERE length(norm) >= 30)", "JOIN labels USING (doc_id) WHERE length(norm) >= 30)")
+BASE = f"WITH RECURSIVE {D}, {LAB}, {SPLIT}, {VECS}, {LABELLED_PAIRS}, {LEAK}"
 
 
 def vectors(spark, sf):
