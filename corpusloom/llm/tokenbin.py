@@ -34,91 +34,75 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.session import table, work_dir
+from .bpe import FOREIGN, byte_chars, default_path
 from .common import add_columns, local_path, tasks
 
 SKIPPABLE, DOC_TABLE, SEEK_MAGIC = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
-CACHE = 150_000
+CACHE = 600_000
 NULL_ID = -(1 << 63)  # how the document table writes a null id
+# The byte-level pre-tokenizer's pattern.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE_RUN = regex.compile(r" \s")
 
 
 class ByteTokenizer:
-    """The library's byte-level BPE behind a bounded cache of space-separated chunks.
+    """The library's byte-level BPE model behind a bounded cache.
 
     The pre-tokenizer only ever looks across a space when white space follows it;
-    text without such runs is cut at spaces, each chunk keeping the space before
-    it, and equal chunks are encoded once. Other text goes to the library whole.
+    text without such runs is cut at spaces, each chunk owning the space before
+    it. Unknown chunks are cut into pre-tokens, unknown pre-tokens merged by the
+    library's model, and both remembered. Text with such runs, with special
+    tokens or with characters whose class the two regex engines may see
+    differently goes to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.special = list(self.tok.get_added_tokens_decoder().values())
-        self.marks = [t.content for t in self.special]
-        self.old, self.new = {}, {}
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks not in the young cache, in one call of the library for the unknown ones."""
-        got, plans, ask = {}, {}, set()
-        for c in chunks:
-            if (v := self.old.get(c)) is not None:
-                got[c] = v
-                continue
-            # a line break between visible characters is a piece of its own, as is ASCII punctuation after a letter
-            parts: list[str] = []
-            lines = c.split("\n")
-            if len(lines) > 1 and all(x and not x.isspace() and not x[0].isspace() and not x[-1].isspace() for x in [lines[0].lstrip(" "), *lines[1:]]):
-                for i, x in enumerate(lines):
-                    parts += ["\n", x] if i else [x]
-            else:
-                parts = [c]
-            fine: list[str] = []
-            for x in parts:
-                core = x.rstrip(".,;:!?")
-                fine += [core, x[len(core) :]] if len(core) < len(x) and core and core[-1].isalpha() else [x]
-            plans[c] = fine
-            ask.update(p for p in fine if p not in self.new and p not in self.old)
-        asked = sorted(ask)
-        fresh = dict(zip(asked, self.library(asked), strict=True))
-        for c, fine in plans.items():
-            got[c] = b"".join([fresh[p] if p in fresh else self.new[p] if p in self.new else self.old[p] for p in fine])
-        if len(self.new) + len(got) + len(fresh) > CACHE:
-            self.old, self.new = self.new, {}
-        self.new.update(fresh)
-        self.new.update(got)
+        self.merge = self.tok.model.tokenize
+        self.marks = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.pattern = regex.compile(PATTERN)
+        self.table = {b: c for b, c in enumerate(byte_chars())}
+        self.chunks: dict[str, bytes] = {}  # after a space, without it
+        self.pieces: dict[str, bytes] = {}
+
+    def piece(self, p: str) -> bytes:
+        if (got := self.pieces.get(p)) is None:
+            written = p.encode().decode("latin-1").translate(self.table)
+            ids = [t.id for t in self.merge(written)]
+            got = self.pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
         return got
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
-        plain, whole, unknown = {}, [], set()
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if SPACE_RUN.search(t) or t[0].isspace() or any(m in t for m in self.marks):
-                whole.append(i)
-                continue
-            chunks = t.split(" ")
-            chunks[1:] = [" " + c for c in chunks[1:]]
-            if chunks[-1] == " ":  # a trailing space
-                pass
-            plain[i] = chunks
-            unknown.update(chunks)
-        known = {}
-        for c in unknown:
-            if (v := self.new.get(c)) is not None:
-                known[c] = v
-        if len(known) < len(unknown):
-            known |= self.learn(unknown - known.keys())
-        out = [b""] * len(texts)
-        for i, chunks in plain.items():
-            out[i] = b"".join([known[c] for c in chunks])
-        for i, ids in zip(whole, self.library([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+    def chunk(self, c: str) -> bytes:
+        """Ids of a chunk that follows a space and isn't remembered."""
+        c = " " + c
+        if c[1:].isalpha():
+            got = self.piece(c)
+            self.chunks[c[1:]] = got
+            return got
+        parts = self.pattern.findall(c)
+        known = all(p in self.pieces for p in parts)
+        got = b"".join([self.piece(p) for p in parts])
+        if known:  # rarer combinations aren't worth remembering
+            self.chunks[c[1:]] = got
+        return got
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids as little-endian 32-bit integers."""
+        if not text:
+            return b""
+        if SPACE_RUN.search(text) or ("<|" in text and any(m in text for m in self.marks)) or not (text.isascii() or not FOREIGN.search(text)):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.chunks) + len(self.pieces) > CACHE:
+            self.chunks.clear()
+            self.pieces.clear()
+        first, *rest = text.split(" ")
+        ids = list(map(self.chunks.get, rest))
+        if None in ids:
+            chunk = self.chunk
+            ids = [chunk(c) if g is None else g for c, g in zip(rest, ids, strict=True)]
+        return b"".join([self.piece(p) for p in self.pattern.findall(first)]) + b"".join(ids)
 
 
 @lru_cache(maxsize=2)
@@ -130,7 +114,7 @@ def byte_tokenizer(path: str) -> ByteTokenizer:
 FRAME = [T.StructField("n_tokens", T.LongType()), T.StructField("frame", T.BinaryType()), T.StructField("check", T.LongType())]
 
 
-def frames(docs: DataFrame, path: str, end_id: int, text: str = "text", keep: list[str] | None = None, level: int = 3) -> DataFrame:
+def frames(docs: DataFrame, path: str, end_id: int, text: str = "text", keep: list[str] | None = None, level: int = 1) -> DataFrame:
     """Rows of docs with each document's ids as a compressed frame and its checksum."""
 
     def make():
@@ -138,19 +122,11 @@ def frames(docs: DataFrame, path: str, end_id: int, text: str = "text", keep: li
 
         def fn(batch):
             out = [[], [], []]
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size < 4_000_000):
-                    size += len(texts[j] or "")
-                    j += 1
-                for ids in tok.encode(texts[i:j]):
-                    ids += end
-                    out[0].append(len(ids) // 4)
-                    out[1].append(comp.compress(ids))
-                    out[2].append(xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF)
-                i = j
+            for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
+                ids = tok.encode(t) + end
+                out[0].append(len(ids) // 4)
+                out[1].append(comp.compress(ids))
+                out[2].append(xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF)
             return out
 
         return fn
@@ -264,7 +240,5 @@ def read_corpus(listing: DataFrame) -> DataFrame:
 
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode, write and read back every document."""
-    from .bpe import default_path
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return read_corpus(write_corpus(docs, default_path("byte_bpe_50k.json"), 2))
