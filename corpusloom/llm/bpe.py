@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -169,7 +170,7 @@ class Bpe:
 # The pattern of the word-level vocabulary's pre-tokenizer.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Below U+0558 and in General Punctuation up to U+206F this regex engine's classes and the library's agree; other text is cut by the library's own pre-tokenizer.
-FOREIGN = regex.compile(r"[^\x00-\u0557\u2000-\u206F]")
+FOREIGN = re.compile(r"[^\x00-\u0557\u2000-\u206F]")
 
 
 class WordTokenizer:

@@ -20,6 +20,7 @@ empty table writes no file.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -38,11 +39,11 @@ from .bpe import FOREIGN, byte_chars, default_path
 from .common import add_columns, local_path, tasks
 
 SKIPPABLE, DOC_TABLE, SEEK_MAGIC = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
-CACHE = 600_000
+CACHE = 800_000
 NULL_ID = -(1 << 63)  # how the document table writes a null id
 # The byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPACE_RUN = regex.compile(r" \s")
+SPACE_RUN = re.compile(r" \s")
 
 
 class ByteTokenizer:
@@ -65,27 +66,29 @@ class ByteTokenizer:
         self.pattern = regex.compile(PATTERN)
         self.table = {b: c for b, c in enumerate(byte_chars())}
         self.chunks: dict[str, bytes] = {}  # after a space, without it
-        self.pieces: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}  # pre-tokens that start without a space
+
+    def merged(self, p: str) -> bytes:
+        written = "\u0120" + p[1:] if p[0] == " " and p.isascii() else p.encode().decode("latin-1").translate(self.table)
+        ids = [t.id for t in self.merge(written)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def piece(self, p: str) -> bytes:
-        if (got := self.pieces.get(p)) is None:
-            written = p.encode().decode("latin-1").translate(self.table)
-            ids = [t.id for t in self.merge(written)]
-            got = self.pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
+        known, key = (self.chunks, p[1:]) if p[0] == " " else (self.heads, p)
+        if (got := known.get(key)) is None:
+            got = known[key] = self.merged(p)
         return got
 
     def chunk(self, c: str) -> bytes:
         """Ids of a chunk that follows a space and isn't remembered."""
-        c = " " + c
-        if c[1:].isalpha():
-            got = self.piece(c)
-            self.chunks[c[1:]] = got
+        if c.isalpha():
+            got = self.chunks[c] = self.merged(" " + c)
             return got
-        parts = self.pattern.findall(c)
-        known = all(p in self.pieces for p in parts)
-        got = b"".join([self.piece(p) for p in parts])
-        if known:  # rarer combinations aren't worth remembering
-            self.chunks[c[1:]] = got
+        first, *rest = self.pattern.findall(" " + c)
+        known = first[1:] in self.chunks
+        got = self.piece(first) + b"".join([self.piece(p) for p in rest])
+        if known and len(rest) == 1:  # a word seen before with its punctuation; rarer combinations aren't worth remembering
+            self.chunks[c] = got
         return got
 
     def encode(self, text: str | None) -> bytes:
@@ -94,9 +97,9 @@ class ByteTokenizer:
             return b""
         if SPACE_RUN.search(text) or ("<|" in text and any(m in text for m in self.marks)) or not (text.isascii() or not FOREIGN.search(text)):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.chunks) + len(self.pieces) > CACHE:
+        if len(self.chunks) + len(self.heads) > CACHE:
             self.chunks.clear()
-            self.pieces.clear()
+            self.heads.clear()
         first, *rest = text.split(" ")
         ids = list(map(self.chunks.get, rest))
         if None in ids:
