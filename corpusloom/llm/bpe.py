@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from ..plans.session import table
 from .common import add_columns
 
-CACHE = 200_000
+CACHE = 120_000
 END = 0x400  # added to a byte that ends its word
 
 
@@ -114,7 +114,7 @@ class Bpe:
                 most = min(most, rb + 1)
                 b = split[b][1]
         if limit is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
             self.pairs[key] = ok
         return ok

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.session import table
-from .common import add_columns
+from .common import add_columns, slices
 
 SAMPLE, WORDS, GRAMS, ORDERS, FOLDS = 2_000, 40_000, 20_000, (5, 4, 3, 2, 1), 5
 UNKNOWN = "und"
@@ -60,7 +60,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     schema = "lang string, kind int, item string, n long"
 
     def count(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 3_000_000)):
             by: dict[str, Counter] = {}
             for t, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(k, Counter()).update(tokens(t))
