@@ -61,7 +61,7 @@ def roc_auc(preds: DataFrame, score: str, *by: str, gold: str = "gold") -> DataF
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("avg_rank", F.coalesce(F.sum("m").over(w), F.lit(0)) + (F.col("m") + 1) / 2.0)
     g = per.groupBy(*by).agg(F.sum("m").alias("n"), F.sum("p").alias("n1"), F.sum(F.col("avg_rank") * F.col("p")).alias("r"))
-    return g.select(*by, "n", F.try_divide(F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2.0, F.col("n1") * (F.col("n") - F.col("n1"))).alias("auc"))
+    return g.select(*by, "n", "n1", F.try_divide(F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2.0, F.col("n1") * (F.col("n") - F.col("n1"))).alias("auc"))
 
 
 def majority(train: DataFrame, label: str) -> DataFrame:

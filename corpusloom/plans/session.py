@@ -6,10 +6,30 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Give the Python workers this library's modules, once a session, wherever it was started from."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[2]
+    name = Path(tempfile.mkdtemp(prefix="corpusloom-code-")) / "corpusloom_code.zip"
+    atexit.register(shutil.rmtree, name.parent, ignore_errors=True)
+    with zipfile.ZipFile(name, "w") as z:
+        for f in [*sorted((root / "corpusloom").rglob("*.py")), *root.glob("corpus_pipeline.py")]:
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(name))
+    _shipped.add(app)
+
+
+_shipped: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
