@@ -51,7 +51,11 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "norm", lo: in
                 tf.append(np.fromiter(c.values(), np.int64, len(c)))
             yield pa.RecordBatch.from_arrays([ids, pa.array(terms, pa.list_(pa.int64())), pa.array(tf, pa.list_(pa.int64()))], names=["doc_id", "terms", "tf"])
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, terms array<long>, tf array<long>")
+    rows = docs.select(F.col(doc_id).cast("long"), F.col(text))
+    spread = docs.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < spread:  # a small table in one file would be one task
+        rows = rows.repartition(spread)
+    return rows.mapInArrow(run, "doc_id long, terms array<long>, tf array<long>")
 
 
 def tfidf(docs: DataFrame, doc_id: str = "doc_id", text: str = "norm", min_df: int = 2, max_features: int | None = 200_000) -> DataFrame:
