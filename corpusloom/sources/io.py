@@ -108,7 +108,8 @@ def read_project(spark: SparkSession, pattern: str) -> DataFrame:
                         a, b = int(sel.get("startPosition", 0)), int(sel.get("endPosition", 0))
                         rows += [(path, src.get("name"), r.get("targetGUID"), names.get(r.get("targetGUID")), a, b, text[a:b]) for r in sel.iter() if local(r) == "CodeRef"]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=out.names)
+                kinds = [pa.int32() if f in ("start", "end") else pa.string() for f in out.names]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=out.names)
 
     return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInArrow(run, out)
 
