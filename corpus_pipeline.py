@@ -5,9 +5,9 @@ columns of docs. run() writes every stage's result to the shared folder and
 reads it back for the next one.
 
 - language: documents without any language (null text or no letter) go.
-- near_duplicates: of each group of linked fingerprints the document with the
-  smallest id stays. Rows with a null id always stay; rows with equal ids are one
-  document.
+- near_duplicates: of each group of linked documents, which share at least four
+  fifths of their five-word shingles, the one with the smallest id stays. Rows with
+  a null id always stay; rows with equal ids are one document.
 - repeated_text: byte strings of 50 that a document with a smaller id also has
   are cut; n_chars, where there is one, follows the text. Characters that a cut
   leaves broken go.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm import bpe, decontam, langid, simhash, suffixdedup
+from corpusloom.llm import bpe, decontam, langid, neardup, suffixdedup
 from corpusloom.llm.common import Store, add_columns, local_path, store_rows, tasks
 from corpusloom.plans.session import materialize, table, work_dir
 
@@ -38,9 +38,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids to drop go to a store that a pass over the documents looks up, so texts aren't shuffled."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
+    groups = neardup.near_duplicates(docs.select("doc_id", "text"))
     drop = groups.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("key")).distinct()
-    where, shards = local_path(work_dir(spark, "simhash-drop")), max(16, tasks(docs))
+    where, shards = local_path(work_dir(spark, "near-drop")), max(16, tasks(docs))
     store_rows(drop, where, shards, {})
 
     def make():

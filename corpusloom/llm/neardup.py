@@ -1,0 +1,195 @@
+"""Near-duplicate groups by exact Jaccard similarity of word shingles.
+
+A text is folded (A-Z to a-z), split at ASCII white space and cut into word
+shingles; its set holds their XXH64, each once. Equal sets are one class, so any
+number of copies costs one row from there on. Candidates meet by MinHash: BANDS
+keys, each of ROWS minima; classes that share a key are compared on their whole
+sets and linked only if the similarity reaches the threshold. A pair at
+similarity s shares a key with probability 1 - (1 - s^ROWS)^BANDS: 0.99994 at
+0.8, more above it.
+
+Sets are written once to the shared folder, in a file a task, and read there by
+place, so no set is shuffled. Among the classes of one key, pairs that are
+already connected aren't compared again: links connect what all pairs would, and
+their number grows with the classes, not with the pairs.
+
+Defined results: null and blank texts have the empty set and are copies of one
+another; fewer words than a shingle are one shingle; rows with equal ids are
+separate rows of one class; a null id keeps its row and is never a component's
+id, which is null only if every id in the component is.
+"""
+
+from __future__ import annotations
+
+import os
+from collections import OrderedDict
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.graph import connected_components
+from ..plans.session import materialize, work_dir
+from .common import U64, drop_folder, local_path, slices, texts_of
+
+SHINGLE, SIMILARITY = 5, 0.8
+ROWS, BANDS = 6, 32
+CHUNK = 1 << 12
+CACHE = 32_000_000
+_rng = np.random.default_rng(42)
+_MUL = _rng.integers(0, 1 << 32, (ROWS * BANDS, 1), np.uint32) | np.uint32(1)
+_ADD = _rng.integers(0, 1 << 32, (ROWS * BANDS, 1), np.uint32)
+
+
+def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the text's word shingles."""
+    ws = (text or b"").lower().split()
+    if not ws:
+        return np.zeros(0, U64)
+    joined = b" ".join(ws)
+    ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    k = min(shingle, len(ws))
+    digest = xxhash.xxh64_intdigest
+    found = {digest(joined[a:b]) for a, b in zip(starts[: len(ws) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)}
+    return np.sort(np.fromiter(found, U64, len(found)))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """The signed MinHash keys of a set, one a band; none of the empty set."""
+    if not len(hashes):
+        return []
+    h = (hashes >> U64(32)).astype(np.uint32)
+    least = np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(h), CHUNK):
+        np.minimum(least, (h[None, i : i + CHUNK] * _MUL + _ADD).min(1), out=least)
+    rows = least.astype("<u4").reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), b) for b, r in enumerate(rows)], U64).view(np.int64).tolist()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common / (len(both) - common) if len(both) else 1.0
+
+
+def write_sets(docs: DataFrame, folder: str, shingle: int) -> DataFrame:
+    """(doc_id, class, place, keys) of docs (doc_id, text); sets go to a file a task. Lazy."""
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        os.makedirs(folder, exist_ok=True)
+        tmp, at = f"{folder}/.{part}-{os.getpid()}-{os.urandom(4).hex()}", 0
+        with open(tmp, "wb") as f:
+            for whole in batches:
+                for batch in slices(whole):
+                    classes, places, keys = [], [], []
+                    for t in texts_of(batch, "text"):
+                        s = shingle_set(t, shingle)
+                        f.write(np.array([len(s)], "<u8").tobytes() + s.astype("<u8").tobytes())
+                        classes.append(xxhash.xxh64_intdigest(s.tobytes()))
+                        places.append(part << 40 | at)
+                        keys.append(band_keys(s))
+                        at += len(s) + 1
+                    ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(classes, U64).view(np.int64)), pa.array(places, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "class", "place", "keys"])
+        os.replace(tmp, f"{folder}/{part}")  # whole, and the same again from a repeated task
+
+    return docs.mapInArrow(run, "doc_id long, class long, place long, keys array<long>")
+
+
+class Sets:
+    """Read side of write_sets: sets by place, the last CACHE bytes kept."""
+
+    def __init__(self, folder: str):
+        self.folder, self.files, self.held, self.size = folder, {}, OrderedDict(), 0
+
+    def get(self, place: int) -> np.ndarray:
+        if place in self.held:
+            self.held.move_to_end(place)
+            return self.held[place]
+        part, at = place >> 40, (place & ((1 << 40) - 1)) * 8
+        if part not in self.files:
+            self.files[part] = os.open(f"{self.folder}/{part}", os.O_RDONLY)
+        fd = self.files[part]
+        first = os.pread(fd, 4096, at)
+        n = int.from_bytes(first[:8], "little") * 8
+        raw = first[8 : 8 + n]
+        while len(raw) < n:
+            raw += os.pread(fd, n - len(raw), at + 8 + len(raw))
+        s = self.held[place] = np.frombuffer(raw, "<u8")
+        self.size += n
+        while self.size > CACHE and len(self.held) > 1:
+            self.size -= self.held.popitem(last=False)[1].nbytes
+        return s
+
+    def close(self) -> None:
+        for fd in self.files.values():
+            os.close(fd)
+
+
+def connect(members: list[tuple[int, int]], sets: Sets, similarity: float) -> list[tuple[int, int]]:
+    """Links between classes (class, place) that connect all similar pairs among them."""
+    groups: list[list[tuple[int, int]]] = []
+    out = []
+    for m in members:
+        s, apart, joined = sets.get(m[1]), [], [m]
+        for g in groups:
+            for other in g:
+                o = sets.get(other[1])
+                if min(len(s), len(o)) >= similarity * max(len(s), len(o)) and jaccard(s, o) >= similarity:
+                    out.append((other[0], m[0]))
+                    joined = g + joined
+                    break
+            else:
+                apart.append(g)
+        groups = [joined, *apart]
+    return out
+
+
+def links(sets: DataFrame, folder: str, similarity: float) -> DataFrame:
+    """(a, b): links of classes from distinct (class, place, keys)."""
+
+    def run(batches):
+        found = Sets(folder)
+        key, members = None, []
+
+        def done():
+            return connect(sorted(members), found, similarity) if len(members) > 1 else []
+
+        try:
+            for batch in batches:
+                rows = []
+                for k, c, p in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                    if k != key:
+                        rows += done()
+                        key, members = k, []
+                    members.append((c, p))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            rows = done()
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        finally:
+            found.close()
+
+    rows = sets.select(F.explode("keys").alias("key"), "class", "place")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) for every row."""
+    spark = docs.sparkSession
+    folder = local_path(work_dir(spark, "shingles"))
+    sets = materialize(write_sets(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), folder, shingle), "shingle-keys")
+    classes = materialize(sets.groupBy("class").agg(F.min("doc_id").alias("least"), F.min("place").alias("place")), "shingle-classes")
+    one = sets.select("class", "place", "keys").join(classes.select("place"), "place", "left_semi")
+    comp = connected_components(links(one, folder, similarity))
+    drop_folder(folder)
+    joined = materialize(classes.join(comp, classes["class"] == comp["node"], "left").select("class", "least", F.coalesce("component", "class").alias("component")), "shingle-groups")
+    smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_class = joined.join(smallest, "component").select(F.col("class").alias("c"), "component_id")
+    return sets.join(by_class, F.col("class") == F.col("c")).select("doc_id", "component_id")

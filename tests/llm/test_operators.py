@@ -235,6 +235,32 @@ def test_store_roundtrip(tmp_path):
     assert not [f for f in os.listdir(tmp_path) if f.startswith(".")]
 
 
+def test_pipeline_drops_near_copies_with_edits(spark):
+    import corpus_pipeline
+
+    r = random.Random(7)
+    rows = []
+    for _ in range(25):
+        ws = [f"w{r.randrange(4000)}" for _ in range(r.randint(40, 400))]
+        rows.append(ws)
+        for _ in range(r.randint(0, 4)):  # copies of copies, from equal to too far
+            ws = list(ws)
+            for _ in range(r.randint(0, len(ws) // 30)):
+                ws[r.randrange(len(ws))] = f"x{r.randrange(4000)}"
+            rows.append(ws)
+    r.shuffle(rows)
+    sets = [{tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} for ws in rows]
+    comp = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                comp = [min(comp[i], comp[j]) if c in (comp[i], comp[j]) else c for c in comp]
+    want = [i for i, c in enumerate(comp) if i == c]
+    docs = spark.createDataFrame([(i, " ".join(ws), len(ws)) for i, ws in enumerate(rows)], "doc_id long, text string, n long").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(x["doc_id"] for x in got.select("doc_id").collect()) == want and 25 <= len(want) < len(rows)
+
+
 def test_pipeline_on_hard_rows(spark, tmp_path):
     import corpus_pipeline
 
