@@ -141,7 +141,7 @@ def a44(spark, sf):
 
 @query("j20_code_names", "SELECT l_orderkey, l_linenumber, n_name AS name FROM lineitem LEFT JOIN nation ON n_nationkey = l_suppkey % 30 WHERE l_orderkey % 10 = l_linenumber")
 def j20(spark, sf):
-    s = table(spark, sf, "lineitem").where("l_orderkey % 10 = l_linenumber").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 30).alias("code"))
+    s = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 30).alias("code"))
     return triangulate.name_codes(s, table(spark, sf, "nation").select(F.col("n_nationkey").alias("guid"), F.col("n_name").alias("name"))).select("l_orderkey", "l_linenumber", "name")
 
 

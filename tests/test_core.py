@@ -188,6 +188,16 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     assert sorted(r["custom_id"] for r in got.collect()) == ["x", "y", "z"]
 
 
+def test_code_names_cover_every_row(spark, tmp_path):
+    from corpusloom.registry import QUERIES
+
+    rows = [(o, n, o * 7 + n) for o in range(1, 30) for n in range(1, 4)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"n{k}") for k in range(25)], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    got = {tuple(r) for r in QUERIES["j20_code_names"](spark, str(tmp_path)).collect()}
+    assert got == {(o, n, f"n{c % 30}" if c % 30 < 25 else None) for o, n, c in rows}
+
+
 def test_registry_names():
     import __spark_entry__ as e
 
