@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import topic_tokens
+from ..plans.session import materialize
 
 
 def cleaned(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -46,21 +47,26 @@ def corpus_flow(docs: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame:
     return docs.agg(F.array(*cols).alias("a")).select(F.inline("a"))
 
 
-def fit_lda(toks: DataFrame, k: int, seed: int, min_df: int = fixed.NO_BELOW, max_iter: int = 20):
+def fit_lda(toks: DataFrame, k: int, seed: int, min_df: int = fixed.NO_BELOW, max_iter: int = 20, max_share: float = fixed.NO_ABOVE):
     """(pipeline model, document topics): online LDA with a learned document prior.
 
-    The optimiser is Spark's; the topic prior is a scalar there, so figures differ
-    from other implementations.
+    Terms are those that dictionary() keeps, all of them; documents without any
+    are left out. Each of the max_iter steps draws as many documents as there are
+    (with replacement, as Spark does). The optimiser is Spark's; the topic prior is
+    a scalar there, so figures differ from other implementations.
     """
-    from pyspark.ml import Pipeline
+    from pyspark.ml import PipelineModel
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-
-    pipe = Pipeline(stages=[CountVectorizer(inputCol="tokens", outputCol="bag", minDF=min_df), LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", optimizeDocConcentration=True, featuresCol="bag", topicDistributionCol="p")])
-    model = pipe.fit(toks)
+    from pyspark.ml.feature import CountVectorizerModel
     from pyspark.ml.functions import vector_to_array
 
-    return model, model.transform(toks).select("doc_id", vector_to_array("p").alias("p"))
+    kept = dictionary(toks, min_df, max_share).where("action = 'keep'").select("term", "df").collect()
+    if not kept:
+        raise ValueError("the dictionary keeps no term")
+    words = CountVectorizerModel.from_vocabulary([r["term"] for r in sorted(kept, key=lambda r: (-r["df"], r["term"]))], inputCol="tokens", outputCol="bag")
+    counts = materialize(words.transform(toks).where(F.size(F.unwrap_udt("bag")["indices"]) > 0).select("doc_id", "bag"), "lda-bags")
+    model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", subsamplingRate=1.0, optimizeDocConcentration=True, featuresCol="bag", topicDistributionCol="p").fit(counts)
+    return PipelineModel([words, model]), model.transform(counts).select("doc_id", vector_to_array("p").alias("p"))
 
 
 def topic_terms(model, top: int = fixed.TOP_TERMS) -> DataFrame:

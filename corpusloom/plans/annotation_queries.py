@@ -279,7 +279,7 @@ def l15(spark, sf):
 def l10(spark, sf):
     """Prevalence of a fitted model of four topics."""
     toks = topics.cleaned(raw_documents(spark, sf)).where(F.size("tokens") > 0)
-    _, p = topics.fit_lda(toks, 4, 42, max_iter=3)
+    _, p = topics.fit_lda(toks, 4, 42)
     return rounded(topics.prevalence(topics.document_topics(p), 4))
 
 

@@ -188,6 +188,20 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     assert sorted(r["custom_id"] for r in got.collect()) == ["x", "y", "z"]
 
 
+def test_topic_model_uses_the_dictionary_and_every_document(spark, tmp_path):
+    from corpusloom.registry import QUERIES
+
+    rows = [(i, "common " + " ".join(f"{'ab'[i % 2]}word{(i + j) % 9}" for j in range(6))) for i in range(60)] + [(60, "common rare")]
+    docs = spark.createDataFrame([(i, t.split(" ")) for i, t in rows], "doc_id long, tokens array<string>")
+    model, p = topics.fit_lda(docs, 2, 42)
+    assert sorted(model.stages[0].vocabulary) == sorted(f"{c}word{j}" for c in "ab" for j in range(9))
+    lda = model.stages[1]
+    assert (lda.getSubsamplingRate(), lda.getMaxIter()) == (1.0, 20)
+    assert sorted(x["doc_id"] for x in p.collect()) == list(range(60))  # the last has no kept term
+    spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sum(r["dominant_document_count"] for r in QUERIES["l10_lda"](spark, str(tmp_path)).collect()) == 60
+
+
 def test_code_names_cover_every_row(spark, tmp_path):
     from corpusloom.registry import QUERIES
 
