@@ -85,7 +85,7 @@ class Batch:
         for lo in range(0, n - WIDTH + 1, CHUNK):  # starts of strings
             hi = min(n - WIDTH + 1, lo + CHUNK)
             h = _grams(self.buf[lo : hi + WIDTH - 1])
-            order = (h >> U64(32)).astype(np.uint32)
+            order = np.maximum((h >> U64(32)).astype(np.uint32), np.uint32(1))  # 0 is kept for windows across texts
             least = _slide(order, LEFT + 1, np.minimum)
             starts = np.arange(lo, hi)
             at = np.searchsorted(self.base, starts, "right") - 1

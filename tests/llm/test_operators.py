@@ -145,6 +145,17 @@ def test_repeats_equal_brute_force(spark, hot):
     assert got == brute_repeats([(i, (t or "").encode()) for i, t in docs])
 
 
+def test_repeats_with_nul_runs_equal_brute_force(spark):
+    r = random.Random(4)
+    nul = "".join(r.choice("abc") for _ in range(30)) + "\0" * 30 + "".join(r.choice("abc") for _ in range(30))
+    docs = [(i, "".join(r.choice("xyz") for _ in range(i)) + nul[a:b] + "\0" * (i % 3)) for i, (a, b) in enumerate([(0, 90), (0, 90), (10, 80), (5, 60), (30, 90), (0, 70)])]
+    docs += [(10, "\0" * 60), (11, "\0" * 100), (12, "p" * 20 + "\0" * 49), (13, "\0" * 49 + "q" * 20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = suffixdedup.remove_repeats(df).collect()
+    got = sorted(((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], hashlib.sha256(x["kept"]).hexdigest()) for x in got), key=str)
+    assert got == brute_repeats([(i, t.encode()) for i, t in docs])
+
+
 def test_multikey_sort_is_lexicographic():
     rows = np.random.default_rng(0).integers(0, 3, (500, 20)).astype(np.uint8)
     o = suffixdedup.multikey_sort(suffixdedup._words(rows))
