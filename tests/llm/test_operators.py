@@ -235,6 +235,16 @@ def test_url_rules_and_templates(spark):
     assert r[103]["verdict"] == "allow" and r[104]["rule"] == "com/en/" and r[105]["verdict"] == "allow"
 
 
+def test_url_templates_below_eight_segments(spark):
+    top = "/a/b/c/d/e/f/g/h/i"
+    urls = [(i, f"http://h.com{top}/{'bad' if i % 2 else 'good'}/{i}") for i in range(40)] + [(100, f"http://h.com{top}/bad/sub/7")]
+    rules = [("block", f"h.com{top}/bad/{d}") for d in range(1, 10)] + [("allow", f"h.com{top}/good/{d}") for d in range(1, 10)]
+    df = spark.createDataFrame([*urls, (101, f"http://h.com{top}/bad/0"), (102, f"http://h.com{top}/good/00")], "page_id long, url string")
+    r = {x["page_id"]: x for x in urlfilter.filter_urls(df, rules=rules).collect()}
+    assert (r[1]["template"], r[2]["template"], r[100]["template"]) == (f"{top}/bad/{{n}}", f"{top}/good/{{n}}", f"{top}/bad/sub/{{n}}")
+    assert (r[101]["rule"], r[101]["verdict"], r[102]["rule"], r[102]["verdict"]) == (None, "block", None, "allow")
+
+
 def test_store_roundtrip(tmp_path):
     keys = np.unique(np.random.default_rng(0).integers(0, 2**60, 5000)).astype(np.uint64)
     k, c = common.unpack_sorted(common.pack_sorted(keys, np.arange(len(keys))))
