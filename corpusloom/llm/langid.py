@@ -9,17 +9,18 @@ unseen word backs off to its character n-grams of length 5; if none is known, to
 length 4, and so on to single characters; a word without any known character
 adds nothing. The prediction sees the text alone.
 
-Defined results: a null text or one without a letter is 'und' with score 0; so
-is everything if nothing was learned; ties go to the language first in order.
+Defined results: a null text or one without a letter (Unicode category L) is
+'und' with score 0; so is everything if nothing was learned; ties go to the
+language first in order.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +31,7 @@ from .common import add_columns, slices
 SAMPLE, WORDS, GRAMS, ORDERS, FOLDS = 2_000, 40_000, 20_000, (5, 4, 3, 2, 1), 5
 UNKNOWN = "und"
 KEEP_ASCII = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def tokens(text: str) -> list[bytes]:
