@@ -21,7 +21,6 @@ import hashlib
 import json
 import re
 import unicodedata
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..plans.session import table
-from .common import add_columns
+from .common import add_columns, resident
 
 CACHE = 120_000
 END = 0x400  # added to a byte that ends its word
@@ -235,10 +234,9 @@ class WordTokenizer:
         return self._gather(self.digits, self.digit_offsets, ids.astype(np.int64))[:-1]
 
 
-@lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
     """One for each worker and file."""
-    return WordTokenizer(path)
+    return resident(("words", path), lambda: WordTokenizer(path))
 
 
 def default_path(name: str) -> str:

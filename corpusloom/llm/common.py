@@ -9,6 +9,8 @@ must be a mounted file system (path or file: URI): memory mapping needs one.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import shutil
@@ -41,13 +43,57 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about size bytes, one row at least, so that Python holds few texts at a time."""
     rows = max(1, int(size * batch.num_rows / max(1, batch.nbytes)))
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)
 
 
+_held: dict = {}
+_used: set = set()
+
+
+def resident(key, build: Callable):
+    """build(), kept in this worker for as long as its tasks ask for the same key."""
+    _used.add(key)
+    if key not in _held:
+        _held[key] = build()
+    return _held[key]
+
+
+def settle() -> None:
+    """Give free memory back, so that idle workers of an executor hold little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def begin(make: Callable | None = None):
+    """Start a task: make(), and drop what earlier tasks kept and this one didn't ask for."""
+    _used.clear()
+    fn = make() if make is not None else None
+    if stale := set(_held) - _used:
+        for k in stale:
+            del _held[k]
+        settle()
+    return fn
+
+
+def in_task(run: Callable) -> Callable:
+    """run as a task's function that leaves its worker small."""
+
+    def wrapped(batches):
+        begin()
+        yield from run(batches)
+        settle()
+
+    return wrapped
+
+
 def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]], keep: list[str] | None = None) -> DataFrame:
     """Rows of df (columns keep, all by default) with columns appended by Python.
 
@@ -60,11 +106,13 @@ def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], C
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn = make()
+        fn = begin(make)
         for whole in batches:
             for batch in slices(whole):
                 new = [v if isinstance(v, pa.Array) else pa.array(v, arrow.field(f.name).type) for f, v in zip(fields, fn(batch), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).cast(arrow.field(c).type) for c in base] + new, schema=arrow)
+        del fn
+        settle()
 
     return df.mapInArrow(run, schema)
 
@@ -238,7 +286,7 @@ def write_store(packs: DataFrame, folder: str, shards: int, reduce: Callable, fi
             write_shard(folder, shard, columns)
             yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, arrow, strict=True)], schema=arrow)
 
-    return packs.repartitionById(shards, "shard").mapInArrow(run, T.StructType(fields))
+    return packs.repartitionById(shards, "shard").mapInArrow(in_task(run), T.StructType(fields))
 
 
 def drop_folder(folder: str) -> None:
@@ -271,7 +319,7 @@ def store_rows(rows: DataFrame, folder: str, shards: int, columns: dict[str, str
             write_shard(folder, int(s), {"key": k[at], **{c: whole.column(c).to_numpy()[at].astype(t) for c, t in columns.items()}})
             yield pa.RecordBatch.from_arrays([pa.array([len(at)], pa.int64())], names=["n"])
 
-    placed = rows.select(key, *columns).mapInArrow(place, schema).repartitionById(shards, "shard")
+    placed = rows.select(key, *columns).mapInArrow(in_task(place), schema).repartitionById(shards, "shard")
     from pyspark.sql import functions as F
 
-    return placed.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return placed.mapInArrow(in_task(run), "n long").agg(F.sum("n")).first()[0] or 0

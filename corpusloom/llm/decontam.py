@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.session import table, work_dir
-from .common import add_columns, local_path, texts_of
+from .common import add_columns, in_task, local_path, texts_of
 
 WINDOW = 13
 BLOCK_WORDS = 500_000
@@ -107,7 +107,7 @@ def write_blocks(items: DataFrame, item_id: str, text: str, window: int, block_w
         if held:
             yield put()
 
-    got = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).mapInArrow(run, "block string").distinct()
+    got = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).mapInArrow(in_task(run), "block string").distinct()
     return path, sorted(r[0] for r in got.collect())
 
 

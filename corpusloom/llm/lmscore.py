@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.session import materialize, table, work_dir
-from .common import PACKS, KeyCounter, Store, add_columns, local_path, pack_sorted, slices, sum_sorted, tasks, texts_of, unpack_sorted, write_shard, write_store
+from .common import PACKS, KeyCounter, Store, add_columns, in_task, local_path, pack_sorted, slices, sum_sorted, tasks, texts_of, unpack_sorted, write_shard, write_store
 
 U64 = np.uint64
 END = xxhash.xxh64_intdigest(b"\n")  # no word holds a line feed
@@ -119,7 +119,7 @@ def train(docs: DataFrame, text: str = "text") -> dict:
     def keep_words(shard, keys, counts):
         return {"key": keys, "count": counts.astype("<i8"), "rank": np.arange(len(keys), dtype="<u4")}, [[shard], [len(keys)], [int(counts.sum())]]
 
-    sizes = {r[0]: (r[1], r[2]) for r in write_store(texts.mapInArrow(count_words, PACKS), f"{where}/words", shards, keep_words, long("shard", "words", "tokens")).collect()}
+    sizes = {r[0]: (r[1], r[2]) for r in write_store(texts.mapInArrow(in_task(count_words), PACKS), f"{where}/words", shards, keep_words, long("shard", "words", "tokens")).collect()}
     n = [sizes.get(s, (0, 0))[0] for s in range(shards)]
     offsets = np.cumsum([0, *n]).tolist()
     v = offsets[-1]
@@ -163,7 +163,7 @@ def train(docs: DataFrame, text: str = "text") -> dict:
                         part_k, part_c = part_k[part_c > 2**31], (part_c - 2**31)[part_c > 2**31]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["kind", "part", "pack"])
 
-    merged = materialize(texts.mapInArrow(count_pairs, PACKS).repartitionById(shards, "shard").mapInArrow(merge_pairs, stats), "lm-stats")
+    merged = materialize(texts.mapInArrow(in_task(count_pairs), PACKS).repartitionById(shards, "shard").mapInArrow(in_task(merge_pairs), stats), "lm-stats")
     cc = np.zeros(6, np.int64)  # one small pack a shard
     for (pack,) in merged.where(f"kind = {TYPES}").select("pack").collect():
         cc[1:] += unpack_sorted(pack)[1]
@@ -185,7 +185,7 @@ def train(docs: DataFrame, text: str = "text") -> dict:
             c = sums[CONT] if part < shards else sums[CONT][:0]
             yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in (*((c == k).sum() for k in (1, 2, 3, 4)), (c > 2).sum(), part == shards and sums[TOTAL][0], part == shards and gamma[0] * 1e15)], names=["c1", "c2", "c3", "c4", "c3p", "start_total", "start_gamma"])
 
-    done = merged.where(f"kind <> {TYPES}").repartitionById(shards + 1, "part").mapInArrow(keep_stats, T.StructType(long("c1", "c2", "c3", "c4", "c3p", "start_total", "start_gamma")))
+    done = merged.where(f"kind <> {TYPES}").repartitionById(shards + 1, "part").mapInArrow(in_task(keep_stats), T.StructType(long("c1", "c2", "c3", "c4", "c3p", "start_total", "start_gamma")))
     got = done.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("c1", "c2", "c3", "c4", "c3p", "start_total", "start_gamma")]).first()
     d = model["d1"] = discounts(got["c1"], got["c2"], got["c3"], got["c4"])
     model["start"] = [got["start_total"], got["start_gamma"] / 1e15]

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.session import materialize, table, work_dir
-from .common import PACKS, KeyCounter, Store, add_columns, local_path, slices, store_rows, tasks, texts_of, write_store
+from .common import PACKS, KeyCounter, Store, add_columns, in_task, local_path, slices, store_rows, tasks, texts_of, write_store
 
 WIDTH, GRAM = 50, 24
 LEFT = WIDTH - GRAM  # an anchor lies at offsets 0 to LEFT of a string
@@ -259,7 +259,7 @@ def _dedup_store(docs: DataFrame, hot_group: int) -> dict:
         got = keys[counts > 1]
         return {"key": got}, [[len(got)]]
 
-    n = write_store(docs.mapInArrow(count, PACKS), f"{where}/grams", shards, twice, [T.StructField("n", T.LongType())]).agg(F.sum("n")).first()[0]
+    n = write_store(docs.mapInArrow(in_task(count), PACKS), f"{where}/grams", shards, twice, [T.StructField("n", T.LongType())]).agg(F.sum("n")).first()[0]
 
     # 3: contexts of those
     def contexts(batches):
@@ -304,7 +304,7 @@ def _dedup_store(docs: DataFrame, hot_group: int) -> dict:
         if held:
             yield send(*put())
 
-    ctx = materialize(docs.mapInArrow(contexts, CTX), "suffix-contexts")
+    ctx = materialize(docs.mapInArrow(in_task(contexts), CTX), "suffix-contexts")
     n = ctx.count()
     hot = ctx.groupBy(F.expr(LEAD).alias("hot")).count().where(F.col("count") > hot_group).select("hot")
     hot = materialize(hot, "suffix-hot")
@@ -322,10 +322,10 @@ def _dedup_store(docs: DataFrame, hot_group: int) -> dict:
         yield pa.RecordBatch.from_arrays(_verdicts(key.view(np.int64), check.astype(np.int64), doc, many, mask), names=["key", "check", "doc", "mask"])
 
     if hot.isEmpty():
-        verdicts = ctx.repartitionByRange(parts, F.expr(LEAD)).mapInArrow(compare, VERDICT)
+        verdicts = ctx.repartitionByRange(parts, F.expr(LEAD)).mapInArrow(in_task(compare), VERDICT)
     else:
         lead = F.expr(LEAD) == F.col("hot")
-        cold = ctx.join(hot, lead, "left_anti").repartitionByRange(parts, F.expr(LEAD)).mapInArrow(compare, VERDICT)
+        cold = ctx.join(hot, lead, "left_anti").repartitionByRange(parts, F.expr(LEAD)).mapInArrow(in_task(compare), VERDICT)
         verdicts = cold.unionByName(_hot_verdicts(ctx.join(hot, lead, "left_semi")))
     store_rows(verdicts, f"{where}/verdicts", shards, {"check": "<u4", "doc": "<i8", "mask": "<u4"})
     return spec
@@ -348,7 +348,7 @@ def _hot_verdicts(ctx: DataFrame) -> DataFrame:
                 key, check = context_keys(*_unpack(batch.column(0).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key.view(np.int64)), pa.array(check.astype(np.int64))], names=["context", "doc", "again", "many", "key", "check"])
 
-    one = one.mapInArrow(keyed, "context binary, doc long, again boolean, many boolean, key long, check long")
+    one = one.mapInArrow(in_task(keyed), "context binary, doc long, again boolean, many boolean, key long, check long")
     one = materialize(one.withColumns({"nl": side(LEFT + WIDTH + 1), "nr": side(LEFT + WIDTH + 2)}), "suffix-hot-contexts")
     offsets = F.filter(F.sequence(F.lit(0), F.lit(LEFT)), lambda d: (d <= F.col("nl")) & (F.lit(WIDTH) - d <= F.col("nr")))
     strings = one.select("key", "check", "doc", F.explode(offsets).alias("d"), "context")

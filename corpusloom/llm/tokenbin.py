@@ -23,7 +23,6 @@ import os
 import re
 import struct
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ from pyspark.sql import types as T
 
 from ..plans.session import table, work_dir
 from .bpe import FOREIGN, byte_chars, default_path
-from .common import add_columns, local_path, tasks
+from .common import add_columns, in_task, local_path, resident, tasks
 
 SKIPPABLE, DOC_TABLE, SEEK_MAGIC = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
 CACHE = 800_000
@@ -108,10 +107,9 @@ class ByteTokenizer:
         return b"".join([self.piece(p) for p in self.pattern.findall(first)]) + b"".join(ids)
 
 
-@lru_cache(maxsize=2)
 def byte_tokenizer(path: str) -> ByteTokenizer:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return ByteTokenizer(path)
+    return resident(("bytes", path), lambda: ByteTokenizer(path))
 
 
 FRAME = [T.StructField("n_tokens", T.LongType()), T.StructField("frame", T.BinaryType()), T.StructField("check", T.LongType())]
@@ -215,7 +213,7 @@ def write_corpus(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc_id"
             n, total = write_file(f"{where}/{k:08d}.tok", (r[1:] for r in group))
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([f"{where}/{k:08d}.tok"]), pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=["file", "path", "n_docs", "n_tokens"])
 
-    done = dealt.mapInArrow(run, "file int, path string, n_docs long, n_tokens long")
+    done = dealt.mapInArrow(in_task(run), "file int, path string, n_docs long, n_tokens long")
     out = f"{folder}-files"
     done.write.parquet(out)
     return spark.read.schema(done.schema).parquet(out)
@@ -238,7 +236,7 @@ def read_corpus(listing: DataFrame) -> DataFrame:
                     )
                 f.close()
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(in_task(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
