@@ -4,7 +4,8 @@ Each stage is (spark, docs, sf_dir) -> DataFrame; all but the last return the
 columns of docs. run() writes every stage's result to the shared folder and
 reads it back for the next one.
 
-- language: documents without any language (null text or no letter) go.
+- language: documents without any language (null text or no letter) go; if no row
+  is labelled, nothing can be learned and all stay.
 - near_duplicates: of each group of linked documents, which share at least four
   fifths of their five-word shingles, the one with the smallest id stays. Rows with
   a null id always stay; rows with equal ids are one document.
@@ -25,20 +26,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm import bpe, decontam, langid, neardup, suffixdedup
+from corpusloom.llm import bpe, decontam, langid, simhash, suffixdedup
 from corpusloom.llm.common import Store, add_columns, local_path, store_rows, tasks
 from corpusloom.plans.session import materialize, table, work_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
+    if not model["langs"]:
+        return docs
     marked = langid.identify(_beside(docs), model)
     return _back(marked.where(F.col("lang_pred") != langid.UNKNOWN), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids to drop go to a store that a pass over the documents looks up, so texts aren't shuffled."""
-    groups = neardup.near_duplicates(docs.select("doc_id", "text"))
+    groups = simhash.similar_groups(docs.select("doc_id", "text"))
     drop = groups.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("key")).distinct()
     where, shards = local_path(work_dir(spark, "near-drop")), max(16, tasks(docs))
     store_rows(drop, where, shards, {})
