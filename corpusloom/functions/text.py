@@ -146,6 +146,26 @@ def slug(c: Column) -> Column:
     return F.translate(c, " -()", "__")
 
 
+def canonical_json(names: list[str]) -> Column:
+    """The columns as a compact JSON object with its keys in order; nulls are written."""
+    return F.to_json(F.struct(*[F.col(n) for n in sorted(names)]), {"ignoreNullFields": "false"})
+
+
+def canonical_hash(names: list[str]) -> Column:
+    return sha256(canonical_json(names))
+
+
+def resolve_aliases(c: Column, aliases: dict[str, str], everything: list[str]) -> Column:
+    """Names of a comma-separated list by their aliases, each once, in order of first mention; 'all' stands for everything.
+
+    An unknown name fails the row.
+    """
+    known = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
+    pieces = F.filter(F.transform(F.split(F.lower(c), ","), lambda p: F.trim(p)), lambda p: p != "")
+    named = F.transform(pieces, lambda p: F.coalesce(known[p], F.raise_error(F.concat(F.lit("unknown name "), p))))
+    return F.when(F.array_contains(pieces, "all"), F.array(*[F.lit(e) for e in everything])).otherwise(F.array_distinct(named))
+
+
 def pad_ids(ids: Column, size: int = 150) -> Column:
     """Cut at size, or zeros after."""
     return F.slice(F.concat(ids, F.array_repeat(F.lit(0).cast("long"), size)), 1, size)

@@ -1,16 +1,22 @@
 """Exact cosine similarity joins over character n-gram tf-idf vectors.
 
+Copies of one normal form are one class: they are vectorised, joined and verified
+once, and only counts know how many there are.
+
 Terms are ordered from rare to common. A vector's prefix is the shortest start
 whose rest has a norm under REST; if two vectors reach the threshold t, their
 prefixes' dot product is at least t - REST, because beyond the earlier of the two
-prefix ends one of them has less than REST left. So only prefixes are joined and
-summed, and the few pairs that pass are verified on whole vectors, which travel
-as one array a document.
+prefix ends one of them has less than REST left. So only prefixes are indexed.
+The index lies in the shared folder as sorted arrays, split by term, which workers
+map: every vector looks up its prefix's postings and adds them up, and no pair is
+shuffled before its sum has passed. The few that pass are verified on whole
+vectors.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import os
+from collections import Counter, OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -20,101 +26,253 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
-from ..plans.session import materialize
+from ..functions.text import sha256
+from ..plans.session import local_path, materialize, work_dir
 
-REST = 0.80
+SLACK = 0.10  # of the threshold, that a pair's prefixes must reach
+WORDS = 100_000  # tokens whose n-grams a worker remembers
+PART = 256  # vectors a worker handles at once
+OPEN = 256  # index files a worker keeps mapped
+VEC = T.ArrayType(T.StructType([T.StructField("df", T.LongType()), T.StructField("term", T.LongType()), T.StructField("w", T.DoubleType())]))
 
 
 def char_wb(text: str, lo: int = 3, hi: int = 5) -> Counter:
     """Counts of n-grams within blank-padded tokens; a token no longer than n gives itself once and nothing longer."""
     out: Counter = Counter()
     for w, n in Counter(text.split()).items():
-        w = f" {w} "
-        for k in range(lo, hi + 1):
-            if len(w) <= k:
-                out[w] += n
-                break
-            for i in range(len(w) - k + 1):
-                out[w[i : i + k]] += n
+        for g in _grams(w, lo, hi):
+            out[g] += n
+    return out
+
+
+def _grams(word: str, lo: int, hi: int) -> list[str]:
+    w, out = f" {word} ", []
+    for k in range(lo, hi + 1):
+        if len(w) <= k:
+            out.append(w)
+            break
+        out += [w[i : i + k] for i in range(len(w) - k + 1)]
     return out
 
 
-def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "norm", lo: int = 3, hi: int = 5) -> DataFrame:
-    """(doc_id, terms, tf): a row a document, terms as 64-bit hashes."""
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values else [], kind))
+
+
+def forms(docs: DataFrame, doc_id: str = "doc_id", norm: str = "norm") -> DataFrame:
+    """(doc_id, form): the smallest id with the same normal form; blank ones are forms of their own."""
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.when(F.col(norm) == "", F.concat(F.lit(":"), F.col(doc_id).cast("string"))).otherwise(sha256(F.col(norm))).alias("h"))
+    least = d.groupBy(F.col("h").alias("h2")).agg(F.min("doc_id").alias("form"))
+    return d.join(least, F.col("h") == F.col("h2")).select("doc_id", "form")
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", norm: str = "norm") -> DataFrame:
+    """(doc_id, norm, copies): one row for each distinct normal form, under its smallest id."""
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(norm).alias("norm"))
+    return d.groupBy("norm").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "norm", "copies")
+
+
+def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "norm", lo: int = 3, hi: int = 5, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, *keep, terms, tf): a row a document, terms as 64-bit hashes."""
+    keep = keep or []
+    cols = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *keep)
+    schema = T.StructType([cols.schema[c] for c in ("doc_id", *keep)] + [T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("tf", T.ArrayType(T.LongType()))])
 
     def run(batches):
+        known: dict[str, np.ndarray] = {}
+
+        def of(w: str) -> np.ndarray:
+            if (got := known.get(w)) is None:
+                if len(known) >= WORDS:
+                    known.clear()
+                g = _grams(w, lo, hi)
+                got = known[w] = np.fromiter(map(xxhash.xxh64_intdigest, g), np.uint64, len(g)).view(np.int64)
+            return got
+
         for batch in batches:
-            ids, terms, tf = batch.column(0), [], []
+            terms, tf = [], []
             for t in batch.column(1).to_pylist():
-                c = char_wb(t or "", lo, hi)
-                terms.append(np.array([xxhash.xxh64_intdigest(k) for k in c], np.uint64).view(np.int64))
-                tf.append(np.fromiter(c.values(), np.int64, len(c)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(terms, pa.list_(pa.int64())), pa.array(tf, pa.list_(pa.int64()))], names=["doc_id", "terms", "tf"])
+                c = Counter((t or "").split())
+                parts = [of(w) for w in c]
+                all_ = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+                u, inv = np.unique(all_, return_inverse=True)
+                terms.append(u)
+                tf.append(np.bincount(inv, np.repeat(list(c.values()), [len(p) for p in parts]), len(u)).astype(np.int64) if parts else all_)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(2 + i) for i in range(len(keep))], _lists(terms, pa.int64()), _lists(tf, pa.int64())], names=schema.names)
 
-    rows = docs.select(F.col(doc_id).cast("long"), F.col(text))
     spread = docs.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < spread:  # a small table in one file would be one task
-        rows = rows.repartition(spread)
-    return rows.mapInArrow(run, "doc_id long, terms array<long>, tf array<long>")
+    if cols.rdd.getNumPartitions() < spread:  # a small table in one file would be one task
+        cols = cols.repartition(spread)
+    return cols.mapInArrow(run, schema)
+
+
+class Arrays:
+    """Read side of write_arrays: columns of a shard, mapped when first used."""
+
+    def __init__(self, folder: str, shards: int, columns: dict[str, str]):
+        self.folder, self.shards, self.columns, self.open = folder, shards, columns, OrderedDict()
+
+    def shard(self, i: int) -> dict[str, np.ndarray]:
+        if i not in self.open:
+            if len(self.open) >= OPEN:
+                self.open.popitem(last=False)
+            path = f"{self.folder}/{i}."
+            self.open[i] = {c: np.memmap(path + c, k, "r") if os.path.exists(path + c) and os.path.getsize(path + c) else np.zeros(0, k) for c, k in self.columns.items()}
+        return self.open[i]
+
+    def spans(self, terms: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(shard, which of terms, first row, rows) of the shards that have some of the terms."""
+        out, s = [], np.mod(terms, self.shards)
+        for i in np.unique(s):
+            at = np.flatnonzero(s == i)
+            key = self.shard(int(i))["term"]
+            lo, hi = np.searchsorted(key, terms[at], "left"), np.searchsorted(key, terms[at], "right")
+            ok = hi > lo
+            if ok.any():
+                out.append((int(i), at[ok], lo[ok], (hi - lo)[ok]))
+        return out
+
+
+def write_arrays(rows: DataFrame, folder: str, shards: int, columns: dict[str, str]) -> None:
+    """Rows, split by term and sorted by it, as one file a column (an action). Files appear whole."""
+
+    def run(batches):
+        held: dict[int, list[pa.RecordBatch]] = {}
+        for batch in batches:
+            shard = batch.column(batch.schema.get_field_index("shard")).to_numpy()
+            for s in np.unique(shard):
+                held.setdefault(int(s), []).append(batch.filter(pa.array(shard == s)))
+        for s, got in held.items():
+            t = pa.Table.from_batches(got)
+            o = np.argsort(t.column("term").to_numpy(), kind="stable")
+            os.makedirs(folder, exist_ok=True)
+            for c, kind in columns.items():
+                tmp = f"{folder}/.{s}-{c}-{os.getpid()}-{os.urandom(4).hex()}"
+                t.column(c).to_numpy()[o].astype(kind).tofile(tmp)
+                os.replace(tmp, f"{folder}/{s}.{c}")
+            yield pa.RecordBatch.from_arrays([pa.array([t.num_rows])], names=["n"])
+
+    placed = rows.select(*columns, F.pmod("term", F.lit(shards)).cast("int").alias("shard"))
+    placed.repartitionById(shards, "shard").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
-def tfidf(docs: DataFrame, doc_id: str = "doc_id", text: str = "norm", min_df: int = 2, max_features: int | None = 200_000) -> DataFrame:
+def _shards(rows: DataFrame) -> int:
+    return max(8, rows.rdd.getNumPartitions())
+
+
+def tfidf(docs: DataFrame, doc_id: str = "doc_id", text: str = "norm", min_df: int = 2, max_features: int | None = 200_000, copies: str | None = None) -> DataFrame:
     """(doc_id, vec): unit vectors as arrays of (df, term, w), rare terms first; weights 1 + ln tf times smooth idf.
 
-    Document frequencies are those of all rows; of more than max_features terms
-    the most frequent stay (by count, then term). Documents left without a term
-    have no row.
+    Document frequencies are those of all rows (a row counts copies times); of more
+    than max_features terms the most frequent stay (by count, then term). Documents
+    left without a term have no row.
     """
-    p = materialize(postings(docs, doc_id, text), "postings")
-    n = p.count()
-    rows = p.select("doc_id", F.explode(F.arrays_zip("terms", "tf")).alias("x")).select("doc_id", F.col("x.terms").alias("term"), F.col("x.tf").alias("tf"))
-    df = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
+    d = docs.withColumn("__copies", F.col(copies).cast("long") if copies else F.lit(1).cast("long"))
+    p = materialize(postings(d, doc_id, text, keep=["__copies"]), "postings")
+    n = p.agg(F.coalesce(F.sum("__copies"), F.lit(0))).first()[0]
+    rows = p.select("__copies", F.explode(F.arrays_zip("terms", "tf")).alias("x")).select("__copies", F.col("x.terms").alias("term"), F.col("x.tf").alias("tf"))
+    df = rows.groupBy("term").agg(F.sum("__copies").alias("df"), F.sum(F.col("tf") * F.col("__copies")).alias("total")).where(F.col("df") >= min_df)
     df = materialize(df, "df")
     if max_features is not None and df.count() > max_features:
         df = df.orderBy(F.desc("total"), "term").limit(max_features)
-    idf = df.select(F.col("term").alias("t"), "df", (F.log(F.lit(1.0 + n) / (1.0 + F.col("df"))) + 1).alias("idf"))
-    w = rows.join(idf, F.col("term") == F.col("t")).select("doc_id", F.struct("df", "term", ((1 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w")).alias("e"))
-    # the norm is an aggregate of its own: inside the lambda it would be computed anew for every term
-    vec = w.groupBy("doc_id").agg(F.array_sort(F.collect_list("e")).alias("v"), F.sqrt(F.sum(F.col("e.w") * F.col("e.w"))).alias("n"))
-    vec = vec.select("doc_id", F.transform("v", lambda e: F.struct(e["df"].alias("df"), e["term"].alias("term"), (e["w"] / F.col("n")).alias("w"))).alias("vec"))
-    return materialize(vec, "tfidf")
+    shards, folder = _shards(p), local_path(work_dir(p.sparkSession, "df"))
+    write_arrays(df.select("term", "df"), folder, shards, {"term": "<i8", "df": "<i8"})
 
+    def weigh(batches):
+        known = Arrays(folder, shards, {"term": "<i8", "df": "<i8"})
+        for whole in batches:
+            for k in range(0, whole.num_rows, PART):
+                batch = whole.slice(k, PART)
+                lists, tfs = batch.column(1), batch.column(2)
+                sizes = np.diff(lists.offsets.to_numpy())
+                term, tf = lists.flatten().to_numpy(), tfs.flatten().to_numpy()
+                u, inv = np.unique(term, return_inverse=True)
+                got = np.zeros(len(u), np.int64)
+                for s, at, lo, _ in known.spans(u):
+                    got[at] = known.shard(s)["df"][lo]
+                freq, doc = got[inv], np.repeat(np.arange(len(sizes)), sizes)
+                ok = freq > 0
+                term, freq, doc = term[ok], freq[ok], doc[ok]
+                w = (1 + np.log(tf[ok])) * (np.log((1.0 + n) / (1.0 + freq)) + 1)
+                w /= np.sqrt(np.bincount(doc, w * w, len(sizes)))[doc]
+                o = np.lexsort((term, freq, doc))
+                m = np.bincount(doc, minlength=len(sizes))
+                some = np.flatnonzero(m)
+                cells = pa.StructArray.from_arrays([pa.array(freq[o]), pa.array(term[o]), pa.array(w[o])], names=["df", "term", "w"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, m[some]]), pa.int32()), cells)], names=["doc_id", "vec"])
 
-def _prefixes(vectors: DataFrame, rest: float) -> DataFrame:
-    """(doc_id, term, w) of each vector's prefix."""
+    return materialize(p.select("doc_id", "terms", "tf").mapInArrow(weigh, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("vec", VEC)])), "tfidf")
 
-    def run(batches):
-        for batch in batches:
-            out = [[], [], []]
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                e = v.values
-                w, term = e.field("w").to_numpy(), e.field("term").to_numpy()
-                left = np.sqrt(np.maximum(np.cumsum((w * w)[::-1])[::-1], 0))  # norm from each place on
-                k = int((left >= rest - 1e-9).sum())
-                out[0].append(np.full(k, i))
-                out[1].append(term[:k])
-                out[2].append(w[:k])
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["doc_id", "term", "w"])
-
-    return vectors.select("doc_id", "vec").mapInArrow(run, "doc_id long, term long, w double")
-
-
-def similar_pairs(vectors: DataFrame, threshold: float, left: DataFrame | None = None, right: DataFrame | None = None, rest: float = REST) -> DataFrame:
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, place of each entry's row, terms and weights of a batch (id, vec)."""
+    lists = batch.column(1)
+    sizes = np.diff(lists.offsets.to_numpy())
+    cells = lists.flatten()
+    return batch.column(0).to_numpy(), np.repeat(np.arange(len(sizes)), sizes), cells.field("term").to_numpy(), cells.field("w").to_numpy()
+
+
+def _prefix(doc: np.ndarray, w: np.ndarray, rest: float) -> np.ndarray:
+    """Which entries belong to their vector's prefix."""
+    total = np.cumsum(w * w)
+    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else doc
+    before = total - w * w
+    sizes = np.diff(np.r_[first, len(doc)])
+    start, end = np.repeat(before[first], sizes), np.repeat(total[np.r_[first[1:], len(doc)] - 1] if len(doc) else first, sizes)
+    return np.sqrt(np.maximum(end - before, 0)) >= min(rest - 1e-6, 1.0) if len(doc) else np.zeros(0, bool)
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, left: DataFrame | None = None, right: DataFrame | None = None, slack: float = SLACK) -> DataFrame:
     """(a, b, similarity) of pairs at or over threshold (within fixed.TOLERANCE).
 
     Without left and right all pairs a < b; with them (each a doc_id column) the
     pairs with a in left and b in right.
     """
-    rest = min(rest, threshold)
-    pre = materialize(_prefixes(vectors, rest), "prefixes")
-    x, y = pre.toDF("a", "term", "wa"), pre.toDF("b", "term", "wb")
-    if left is not None:
-        x = x.join(left.select(F.col("doc_id").alias("a")), "a", "left_semi")
-        y = y.join(right.select(F.col("doc_id").alias("b")), "b", "left_semi")
-    cand = x.join(y, "term")
-    cand = cand.where("a < b") if left is None else cand.where("a <> b")
-    cand = cand.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("part")).where(F.col("part") >= threshold - rest - 1e-6).select("a", "b")
+    rest = max(0.0, threshold - slack)
+    spark = vectors.sparkSession
+    some = lambda ids: vectors if ids is None else vectors.join(ids.select(F.col("doc_id").alias("__i")), F.col("doc_id") == F.col("__i"), "left_semi")
+    queries, indexed = some(left).select("doc_id", "vec"), some(right).select("doc_id", "vec")
+    shards, folder = _shards(vectors), local_path(work_dir(spark, "prefixes"))
+    columns = {"term": "<i8", "doc_id": "<i8", "w": "<f8"}
+    each_pair = left is None
+
+    def cut(batches):
+        for whole in batches:
+            for k in range(0, whole.num_rows, PART):
+                ids, doc, term, w = _flat(whole.slice(k, PART))
+                p = _prefix(doc, w, rest)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc[p]]), pa.array(term[p]), pa.array(w[p])], names=["doc_id", "term", "w"])
+
+    write_arrays(indexed.mapInArrow(cut, "doc_id long, term long, w double"), folder, shards, columns)
+
+    def probe(batches):
+        index = Arrays(folder, shards, columns)
+        for whole in batches:
+            for k in range(0, whole.num_rows, PART):
+                ids, doc, term, w = _flat(whole.slice(k, PART))
+                p = _prefix(doc, w, rest)
+                doc, term, w = doc[p], term[p], w[p]
+                found: list[list] = [[] for _ in ids]
+                for s, at, lo, n in index.spans(term):
+                    data, cuts = index.shard(s), np.searchsorted(doc[at], np.arange(len(ids) + 1))
+                    for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                        if y > x:
+                            m = n[x:y]
+                            rows = np.repeat(lo[x:y] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                            b, part = data["doc_id"][rows], data["w"][rows] * np.repeat(w[at[x:y]], m)
+                            ok = b > ids[i] if each_pair else b != ids[i]
+                            found[i].append((b[ok], part[ok]))
+                out = [np.zeros((0, 2), np.int64)]
+                for i, parts in enumerate(found):
+                    if parts:
+                        b, inv = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+                        b = b[np.bincount(inv, np.concatenate([x for _, x in parts]), len(b)) >= threshold - rest - 1e-5]
+                        out.append(np.stack([np.full(len(b), ids[i]), b], 1))
+                got = np.concatenate(out)
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+    cand = materialize(queries.mapInArrow(probe, "a long, b long"), "candidates")
     va, vb = vectors.toDF("ia", "va"), vectors.toDF("ib", "vb")
     full = cand.join(va, F.col("a") == F.col("ia")).join(vb, F.col("b") == F.col("ib")).select("a", "b", "va", "vb")
 
@@ -131,6 +289,80 @@ def similar_pairs(vectors: DataFrame, threshold: float, left: DataFrame | None =
     return materialize(full.mapInArrow(run, "a long, b long, similarity double"), "similar")
 
 
+def best_match(queries: DataFrame, vectors: DataFrame, block: int = 128) -> DataFrame:
+    """(a, b, similarity): each query's most similar vector at any similarity, ties to the smaller id.
+
+    Queries are a stated set, compared with all vectors in blocks: every task of
+    vectors maps the blocks one after the other and returns its best for each query,
+    so nothing but a row a task and query is shuffled. Queries that share no term
+    with any vector have similarity 0 to the smallest id.
+    """
+    spark = queries.sparkSession
+    folder = local_path(work_dir(spark, "queries"))
+
+    def put(batches):
+        held: list[tuple] = []
+        names = []
+
+        def write():
+            ids = np.concatenate([x[0] for x in held])
+            sizes = np.concatenate([x[1] for x in held])
+            term, w = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
+            name = f"{ids.min()}-{os.urandom(6).hex()}"
+            os.makedirs(folder, exist_ok=True)
+            with open(f"{folder}/.{name}", "wb") as f:
+                for x in (ids, sizes, term, w):
+                    np.save(f, x)
+            os.replace(f"{folder}/.{name}", f"{folder}/{name}")
+            names.append(name)
+            held.clear()
+
+        for whole in batches:
+            for k in range(0, whole.num_rows, block):
+                batch = whole.slice(k, block)
+                ids, doc, term, w = _flat(batch)
+                held.append((ids, np.bincount(doc, minlength=len(ids)), term, w))
+                if sum(len(x[0]) for x in held) >= block:
+                    write()
+        if held and sum(len(x[0]) for x in held):
+            write()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["block"])
+
+    names = sorted(r[0] for r in queries.select("doc_id", "vec").mapInArrow(put, "block string").collect())  # a name a block
+
+    def scan(batches):
+        best: dict[str, list[np.ndarray]] = {}
+        for whole in batches:
+            for k in range(0, whole.num_rows, PART):
+                ids, doc, term, w = _flat(whole.slice(k, PART))
+                cuts = np.searchsorted(doc, np.arange(len(ids) + 1))
+                for name in names:
+                    with open(f"{folder}/{name}", "rb") as f:
+                        q, sizes, qt, qw = (np.load(f) for _ in range(4))
+                    u, inv = np.unique(qt, return_inverse=True)
+                    dense = np.zeros((len(u), len(q)))
+                    dense[inv, np.repeat(np.arange(len(q)), sizes)] = qw
+                    at = np.searchsorted(u, term)
+                    at[at == len(u)] = 0
+                    ok = u[at] == term if len(u) else np.zeros(len(term), bool)
+                    sims = np.zeros((len(ids), len(q)))
+                    for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                        hit = np.flatnonzero(ok[x:y]) + x
+                        sims[i] = w[hit] @ dense[at[hit]]
+                    sims = np.round(sims, 12)
+                    order = np.argsort(ids, kind="stable")
+                    top = order[np.argmax(sims[order], axis=0)]  # the smallest id of the best
+                    new = [ids[top], sims[top, np.arange(len(q))]]
+                    old = best.setdefault(name, [q, *new])
+                    better = (new[1] > old[2]) | ((new[1] == old[2]) & (new[0] < old[1]))
+                    best[name] = [q, np.where(better, new[0], old[1]), np.where(better, new[1], old[2])]
+        for q, b, s in best.values():
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(b), pa.array(s)], names=["a", "b", "similarity"])
+
+    got = vectors.select("doc_id", "vec").mapInArrow(scan, "a long, b long, similarity double")
+    return got.groupBy("a").agg(F.min_by(F.struct("b", "similarity"), F.struct(-F.col("similarity"), "b")).alias("x")).select("a", "x.b", "x.similarity")
+
+
 def eligible(docs: DataFrame, min_chars: int = fixed.MIN_CHARS, text: str = "norm") -> DataFrame:
     """Documents long enough for fuzzy matching."""
     return docs.where(F.length(text) >= min_chars)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +34,11 @@ def dictionary(toks: DataFrame, no_below: int = fixed.NO_BELOW, no_above: float
     return d.select("term", "df", "share", F.when(F.col("df") < no_below, "remove_low_df").when(F.col("share") > no_above, "remove_high_df").otherwise("keep").alias("action"))
 
 
+def dictionary_audit(toks: DataFrame, no_below: int = fixed.NO_BELOW, no_above: float = fixed.NO_ABOVE) -> DataFrame:
+    """dictionary(), most frequent terms first, then by term."""
+    return dictionary(toks, no_below, no_above).orderBy(F.desc("df"), "term")
+
+
 def bags(toks: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, term, n) over kept terms."""
     rows = toks.select("doc_id", F.explode("tokens").alias("t"))
@@ -281,6 +289,19 @@ def search(toks: DataFrame, ks: list[int], seeds: list[int], **fit) -> DataFrame
 
 
 def fingerprint(docs: DataFrame, doc_id: str, *cols: str) -> DataFrame:
-    """One row: SHA-256 over the rows' own SHA-256, in order of id (for small corpora)."""
+    """One row: the SHA-256 over the rows' lines in order of id.
+
+    The hash is sequential by definition, so one task reads the sorted lines; it holds
+    one batch of them at a time (the sort spills).
+    """
     line = F.concat_ws("\t", F.col(doc_id).cast("string"), *cols)
-    return docs.select(F.col(doc_id).alias("i"), line.alias("l")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "l"))), lambda x: x["l"]), "\n").cast("binary"), 256).alias("corpus_sha256"))
+
+    def run(batches):
+        h, any_ = hashlib.sha256(), False
+        for batch in batches:
+            for l in batch.column(1).to_pylist():
+                h.update(("\n" if any_ else "").encode() + l.encode())
+                any_ = True
+        yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest() if any_ else None], pa.string())], names=["corpus_sha256"])
+
+    return docs.select(F.col(doc_id).alias("i"), line.alias("l")).repartition(1).sortWithinPartitions("i", "l").mapInArrow(run, "corpus_sha256 string").agg(F.max("corpus_sha256").alias("corpus_sha256"))

@@ -33,6 +33,40 @@ def domain(df: DataFrame, col: str, allowed: list) -> DataFrame:
     return df.agg(F.count("*").alias("n"), out.alias("n_outside"), (out == 0).alias("ok"))
 
 
+def label_counts(df: DataFrame, label: str, expected: dict) -> DataFrame:
+    """(label, n, expected, ok) for every expected or present label; a label that isn't expected should have no rows."""
+    want = df.sparkSession.createDataFrame([(k, v) for k, v in expected.items()], f"want {df.schema[label].dataType.simpleString()}, expected long")
+    got = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    j = got.join(want, F.col("label").eqNullSafe(F.col("want")), "full").select(F.coalesce("label", "want").alias("label"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "expected")])
+    return j.withColumn("ok", F.col("n") == F.col("expected"))
+
+
+def one_to_one(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row: rows of both sides, keys repeated on either, rows of a without a partner, and ok if a left join keeps every row once."""
+    count = lambda d, n: d.groupBy(F.col(key).alias("k")).agg(F.count("*").alias(n))
+    j = count(a, "na").join(count(b, "nb"), "k", "full")
+    of = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    g = j.agg(of("na").alias("left_rows"), of("nb").alias("right_rows"), F.count_if(F.col("na") > 1).alias("repeated_left"), F.count_if(F.col("nb") > 1).alias("repeated_right"), of(F.when(F.col("nb").isNull(), F.col("na"))).alias("unmatched"))
+    return g.withColumn("ok", (F.col("repeated_left") == 0) & (F.col("repeated_right") == 0))
+
+
+def frozen(entries: DataFrame, count: int, sha256: str) -> DataFrame:
+    """One row for a code book (key, value) that must not change: n, its canonical JSON's hash (keys in order), and ok if both are as frozen."""
+    pair = F.concat(F.to_json(F.struct(F.col("key").alias("k"))), F.lit("|"), F.to_json(F.struct(F.col("value").alias("v"))))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("key", pair.alias("p")))), lambda x: F.regexp_replace(F.regexp_replace(x["p"], r'\}\|\{"v":', ":"), r'^\{"k":|\}$', ""))
+    g = entries.agg(F.count("*").alias("n"), F.sha2(F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}")).cast("binary"), 256).alias("sha256"))  # a bounded code book
+    return g.withColumn("ok", (F.col("n") == count) & (F.col("sha256") == sha256))
+
+
+def assemble(parts: list[DataFrame], *keys: str) -> DataFrame:
+    """All parts' rows with repeats, how many rows have the row's keys (1 in a sound record set)."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    n = out.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count("*").alias("repeats"))
+    return out.join(n, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]).select(*out.columns, "repeats")
+
+
 def misaligned(a: DataFrame, b: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """One row: n_misaligned of a full outer join on key; nulls are equal."""
     x, y = a.select(key, F.struct(*cols).alias("x")), b.select(F.col(key).alias("k2"), F.struct(*cols).alias("y"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.text import tokens
 from ..operators import annotations as an
 from ..operators import topics, triangulate, validate
 from ..sources import io
@@ -50,15 +51,24 @@ def f17(spark, sf):
     return results(spark, sf).select("custom_id", "status", "predicted_label", "primary_topic", "secondary_topic", "input_tokens")
 
 
-@query("f16_label_leaks", "SELECT CAST(0 AS BIGINT) AS n_leaks, count(*) AS n FROM documents")
+GUARDED = ["gold_label", "quality", "license"]
+
+
+@query("f16_label_leaks", f"SELECT count(*) FILTER (WHERE {' OR '.join(f"contains(text, '{w}')" for w in GUARDED)}) AS n_leaks, count(*) AS n FROM documents")
 def f16(spark, sf):
-    r = raw_documents(spark, sf).select(an.request(F.concat(F.lit("row-"), F.col("doc_id")), F.lit("text")).alias("line"))
-    return validate.leaks(r, "line", ["gold_label", "quality"]).agg(F.count("*").alias("n_leaks")).join(r.agg(F.count("*").alias("n")))
+    """Requests whose line, text and all, names a guarded word."""
+    r = raw_documents(spark, sf).select(an.request(F.concat(F.lit("row-"), F.col("doc_id")), F.col("text")).alias("line"))
+    return validate.leaks(r, "line", GUARDED).agg(F.count("*").alias("n_leaks")).join(r.agg(F.count("*").alias("n")))
 
 
-@query("f20_failures", f"{W} SELECT count(*) AS n_failed, coalesce(bool_and(false), true) AS one_cause FROM res WHERE false")
+@query("f20_failures", f"{W}, fl AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 'rate_limit' ELSE 'billing_hard_limit_reached' END AS code, doc_id FROM res WHERE status <> 'missing_output_line' AND doc_id % 5 = 0) SELECT 'all' AS part, count(*) AS n_failed, coalesce(bool_and(code = 'billing_hard_limit_reached'), true) AS one_cause FROM fl UNION ALL SELECT 'odd', count(*), coalesce(bool_and(code = 'billing_hard_limit_reached'), true) FROM fl WHERE doc_id % 2 = 1")
 def f20(spark, sf):
-    return an.failures(lines(spark, sf)[1], "billing_hard_limit_reached")
+    """Every fifth output failed, every tenth for another cause; over all outputs and over those of odd ids."""
+    i = F.regexp_extract("custom_id", r"(\d+)$", 1).cast("long")
+    code = F.when(i % 5 == 0, F.when(i % 10 == 0, "rate_limit").otherwise("billing_hard_limit_reached"))
+    o = lines(spark, sf)[1].withColumns({"i": i, "error": F.when(code.isNotNull(), F.struct(code.alias("code"), F.lit("").alias("message")))})
+    one = lambda part, rows: an.failures(rows, "billing_hard_limit_reached").select(F.lit(part).alias("part"), "*")
+    return one("all", o).unionByName(one("odd", o.where("i % 2 = 1")))
 
 
 @query("j15_missing_outputs", f"{W} SELECT status, count(*) AS n FROM res GROUP BY 1")
@@ -139,7 +149,7 @@ def a44(spark, sf):
     return rounded(triangulate.two_shares(table(spark, sf, "conversations"), "role", ["user", "assistant"], "conv_id", 231, 245))
 
 
-@query("j20_code_names", "SELECT l_orderkey, l_linenumber, n_name AS name FROM lineitem LEFT JOIN nation ON n_nationkey = l_suppkey % 30 WHERE l_orderkey % 10 = l_linenumber")
+@query("j20_code_names", "SELECT l_orderkey, l_linenumber, n_name AS name FROM lineitem LEFT JOIN nation ON n_nationkey = l_suppkey % 30")
 def j20(spark, sf):
     s = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 30).alias("code"))
     return triangulate.name_codes(s, table(spark, sf, "nation").select(F.col("n_nationkey").alias("guid"), F.col("n_name").alias("name"))).select("l_orderkey", "l_linenumber", "name")
@@ -164,6 +174,11 @@ def a19(spark, sf):
     return rounded(topics.dictionary(topics.cleaned(raw_documents(spark, sf))))
 
 
+@query("o2_dictionary_audit", f"WITH {DICT} SELECT term, df, action FROM dd ORDER BY df DESC, term")
+def o2(spark, sf):
+    return topics.dictionary_audit(topics.cleaned(raw_documents(spark, sf))).select("term", "df", "action")
+
+
 @query("a41_action_counts", f"WITH {DICT} SELECT action, count(*) AS n FROM dd GROUP BY 1")
 def a41(spark, sf):
     return topics.dictionary(topics.cleaned(raw_documents(spark, sf))).groupBy("action").agg(F.count("*").alias("n"))
@@ -175,12 +190,13 @@ def a21(spark, sf):
 
 
 def probs(spark, sf):
-    """Made-up topic distributions: five shares that follow from the id."""
-    raw = [(F.col("doc_id") * k % 17 + 1).cast("double") for k in (3, 5, 7, 11, 13)]
-    return table(spark, sf, "documents").select("doc_id", F.array(*raw).alias("r")).select("doc_id", F.transform("r", lambda x: x / F.aggregate("r", F.lit(0.0), lambda a, y: a + y)).alias("p"))
+    """Topic distributions of whole texts: five shares, of the tokens whose length leaves 0 to 4 when divided by five (and one more each)."""
+    toks = raw_documents(spark, sf).select("doc_id", tokens(F.col("text")).alias("k"))
+    raw = [(F.size(F.filter("k", lambda t, j=j: F.length(t) % 5 == j)) + 1).cast("double") for j in range(5)]
+    return toks.select("doc_id", F.array(*raw).alias("r")).select("doc_id", F.transform("r", lambda x: x / F.aggregate("r", F.lit(0.0), lambda a, y: a + y)).alias("p"))
 
 
-PROBS = "r AS (SELECT doc_id, [CAST(doc_id * 3 % 17 + 1 AS DOUBLE), doc_id * 5 % 17 + 1, doc_id * 7 % 17 + 1, doc_id * 11 % 17 + 1, doc_id * 13 % 17 + 1] AS r FROM documents), pp AS (SELECT doc_id, list_transform(r, lambda x: x / list_sum(r)) AS p FROM r), dt AS (SELECT doc_id, p, list_position(p, list_max(p)) AS dominant_topic, list_max(p) AS mx, list_reverse_sort(p) AS s, list_sum(list_transform(p, lambda x: -x * ln(x + 1e-12))) / ln(CAST(5 AS DOUBLE)) AS ent FROM pp)"
+PROBS = f"rt AS (SELECT doc_id, {TOKS.format('text')} AS k FROM documents), r AS (SELECT doc_id, [{', '.join(f'CAST(1 + len(list_filter(k, lambda t: length(t) % 5 = {j})) AS DOUBLE)' for j in range(5))}] AS r FROM rt), pp AS (SELECT doc_id, list_transform(r, lambda x: x / list_sum(r)) AS p FROM r), dt AS (SELECT doc_id, p, list_position(p, list_max(p)) AS dominant_topic, list_max(p) AS mx, list_reverse_sort(p) AS s, list_sum(list_transform(p, lambda x: -x * ln(x + 1e-12))) / ln(CAST(5 AS DOUBLE)) AS ent FROM pp)"
 
 
 @query("w6_document_topics", f"WITH {PROBS} SELECT doc_id, CAST(dominant_topic AS INTEGER) AS dominant_topic, round(mx, 6) AS dominant_probability, round(s[1] - s[2], 6) AS margin, round(ent, 6) AS normalized_entropy FROM dt")
@@ -238,7 +254,7 @@ def a25(spark, sf):
 
 def runs(spark, sf):
     """Made-up search runs: (k, seed) with figures from the parts table."""
-    p = table(spark, sf, "part").where("p_partkey < 60")
+    p = table(spark, sf, "part")
     k, s = (F.floor(F.col("p_partkey") / 5) + 4).cast("int"), (F.col("p_partkey") % 5 * 10 + 42).cast("int")
     return p.select(k.alias("k"), s.alias("seed"), (0.4 + F.col("p_size") / 1000).alias("coherence_cv"), (0.5 + (F.col("p_partkey") * 7 % 11) / 100).alias("topic_diversity"), (-7 - (F.col("p_partkey") % 3) / 10).alias("log_perplexity"))
 
@@ -247,7 +263,7 @@ def seed_sims(spark, sf):
     return topics.seed_pairs(runs(spark, sf)).withColumn("similarity", 0.3 + (F.col("k") * F.col("seed_a") + F.col("seed_b")) % 37 / 100)
 
 
-RUNS = "ru AS (SELECT CAST(p_partkey // 5 + 4 AS INTEGER) AS k, CAST(p_partkey % 5 * 10 + 42 AS INTEGER) AS seed, CAST(0.4 AS DOUBLE) + p_size / CAST(1000 AS DOUBLE) AS coherence_cv, CAST(0.5 AS DOUBLE) + (p_partkey * 7 % 11) / CAST(100 AS DOUBLE) AS topic_diversity, -7 - (p_partkey % 3) / CAST(10 AS DOUBLE) AS log_perplexity FROM part WHERE p_partkey < 60), sm AS (SELECT k, coherence_mean, coherence_sd, coherence_sd / sqrt(n_seeds) AS coherence_se, n_seeds, diversity_mean, diversity_sd, lp_mean, lp_sd FROM (SELECT k, count(*) AS n_seeds, avg(coherence_cv) AS coherence_mean, stddev_samp(coherence_cv) AS coherence_sd, avg(topic_diversity) AS diversity_mean, stddev_samp(topic_diversity) AS diversity_sd, avg(log_perplexity) AS lp_mean, stddev_samp(log_perplexity) AS lp_sd FROM ru GROUP BY 1)), sp AS (SELECT a.k, a.seed AS seed_a, b.seed AS seed_b, CAST(0.3 AS DOUBLE) + (a.k * a.seed + b.seed) % 37 / CAST(100 AS DOUBLE) AS similarity FROM ru a JOIN ru b ON a.k = b.k AND a.seed < b.seed), st AS (SELECT k, avg(similarity) AS stability_mean, stddev_samp(similarity) AS stability_sd, min(similarity) AS stability_min FROM sp GROUP BY 1), ss AS (SELECT k, seed, avg(similarity) AS mean_similarity FROM (SELECT k, seed_a AS seed, similarity FROM sp UNION ALL SELECT k, seed_b, similarity FROM sp) GROUP BY 1, 2)"
+RUNS = "ru AS (SELECT CAST(p_partkey // 5 + 4 AS INTEGER) AS k, CAST(p_partkey % 5 * 10 + 42 AS INTEGER) AS seed, CAST(0.4 AS DOUBLE) + p_size / CAST(1000 AS DOUBLE) AS coherence_cv, CAST(0.5 AS DOUBLE) + (p_partkey * 7 % 11) / CAST(100 AS DOUBLE) AS topic_diversity, -7 - (p_partkey % 3) / CAST(10 AS DOUBLE) AS log_perplexity FROM part), sm AS (SELECT k, coherence_mean, coherence_sd, coherence_sd / sqrt(n_seeds) AS coherence_se, n_seeds, diversity_mean, diversity_sd, lp_mean, lp_sd FROM (SELECT k, count(*) AS n_seeds, avg(coherence_cv) AS coherence_mean, stddev_samp(coherence_cv) AS coherence_sd, avg(topic_diversity) AS diversity_mean, stddev_samp(topic_diversity) AS diversity_sd, avg(log_perplexity) AS lp_mean, stddev_samp(log_perplexity) AS lp_sd FROM ru GROUP BY 1)), sp AS (SELECT a.k, a.seed AS seed_a, b.seed AS seed_b, CAST(0.3 AS DOUBLE) + (a.k * a.seed + b.seed) % 37 / CAST(100 AS DOUBLE) AS similarity FROM ru a JOIN ru b ON a.k = b.k AND a.seed < b.seed), st AS (SELECT k, avg(similarity) AS stability_mean, stddev_samp(similarity) AS stability_sd, min(similarity) AS stability_min FROM sp GROUP BY 1), ss AS (SELECT k, seed, avg(similarity) AS mean_similarity FROM (SELECT k, seed_a AS seed, similarity FROM sp UNION ALL SELECT k, seed_b, similarity FROM sp) GROUP BY 1, 2)"
 
 
 @query("a15_k_summary", f"WITH {RUNS} SELECT k, n_seeds, round(coherence_mean, 6) AS coherence_mean, round(coherence_sd, 6) AS coherence_sd, round(diversity_mean, 6) AS diversity_mean, round(diversity_sd, 6) AS diversity_sd, round(lp_mean, 6) AS log_perplexity_mean, round(lp_sd, 6) AS log_perplexity_sd, round(coherence_se, 6) AS coherence_se FROM sm")

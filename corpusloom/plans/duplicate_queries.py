@@ -9,25 +9,36 @@ from ..operators import families, metrics, similarity
 from .base import LAB, SPLIT, VECS, D, cells_sql, documents, metric_sql, query, rounded, split_rows, with_all
 from .session import materialize, table
 
-PAIRS = "pr AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) AS s FROM v a JOIN v b ON a.term = b.term AND a.doc_id < b.doc_id WHERE a.doc_id IN (SELECT doc_id FROM d WHERE length(norm) >= 30) AND b.doc_id IN (SELECT doc_id FROM d WHERE length(norm) >= 30) GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.9 - 1e-8)"
+# pairs of documents by their prefixes (rare terms first, until less than 0.8 of the norm is left), then by all their terms
+PAIRS = """
+pf AS MATERIALIZED (SELECT * FROM (SELECT doc_id, term, w, sum(w * w) OVER (PARTITION BY doc_id ORDER BY df DESC, term DESC) AS l2 FROM v JOIN df USING (term) WHERE doc_id IN (SELECT doc_id FROM {src} WHERE length(norm) >= 30)) WHERE l2 >= 0.64 - 1e-6),
+cd AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM pf a JOIN pf b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.1 - 1e-6),
+pr AS MATERIALIZED (SELECT cd.a, cd.b, sum(x.w * y.w) AS s FROM cd JOIN v x ON x.doc_id = cd.a JOIN v y ON y.doc_id = cd.b AND y.term = x.term GROUP BY 1, 2 HAVING sum(x.w * y.w) >= 0.9 - 1e-8)"""
 LEAK = """
 lp AS (SELECT x.doc_id AS test_id, y.doc_id AS train_id, x.label AS test_label, y.label AS train_label, x.norm AS tn_, y.norm AS rn_, CASE WHEN x.norm = y.norm AND x.norm <> '' THEN 1.0 ELSE s END AS similarity, CASE WHEN x.norm = y.norm AND x.norm <> '' THEN 'normalized_exact' ELSE 'fuzzy' END AS match_kind
 FROM sp x JOIN sp y ON x.split = 'test' AND y.split = 'train' LEFT JOIN pr ON pr.a = least(x.doc_id, y.doc_id) AND pr.b = greatest(x.doc_id, y.doc_id) WHERE (x.norm = y.norm AND x.norm <> '') OR s IS NOT NULL),
 nr AS (SELECT sp.doc_id, sp.label, length(norm) >= 30 AS fuzzy_eligible, similarity AS max_train_similarity, train_id AS nearest_train_id, coalesce(match_kind, 'none') AS nearest_kind, coalesce(sp.label = train_label, false) AS same_label_as_nearest
 FROM sp LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY CASE WHEN match_kind = 'normalized_exact' THEN 0 ELSE 1 END, similarity DESC, train_id) AS r FROM lp) q ON q.test_id = sp.doc_id AND q.r = 1 WHERE split = 'test')"""
 # leakage needs pairs of labelled documents only
-LABELLED_PAIRS = PAIRS.replace("WHERE length(norm) >= 30)", "JOIN labels USING (doc_id) WHERE length(norm) >= 30)")
-BASE = f"WITH RECURSIVE {D}, {LAB}, {SPLIT}, {VECS}, {LABELLED_PAIRS}, {LEAK}"
-
-
-def vectors(spark, sf):
-    return similarity.tfidf(documents(spark, sf))
+BASE = f"WITH RECURSIVE {D}, {LAB}, {SPLIT}, {VECS}, {PAIRS.format(src='lab')}, {LEAK}"
+# forms: distinct normal forms under their smallest document, and pairs of eligible ones
+FORMS = "fm AS MATERIALIZED (SELECT doc_id, norm, CASE WHEN norm = '' THEN doc_id ELSE min(doc_id) OVER (PARTITION BY norm) END AS form FROM d), fe AS (SELECT doc_id, norm, form FROM fm WHERE length(norm) >= 30), fr AS (SELECT doc_id, norm FROM fe WHERE doc_id = form)"
+ALL = f"WITH RECURSIVE {D}, {VECS}, {FORMS}, {PAIRS.format(src='fr')}"
+CLUSTERS = """
+nb AS (SELECT a, b, s FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM (SELECT a, b, s FROM pr UNION ALL SELECT b, a, s FROM pr)) WHERE r <= 25),
+ed AS MATERIALIZED (SELECT a, b FROM nb WHERE s >= {t} - 1e-8 UNION SELECT b, a FROM nb WHERE s >= {t} - 1e-8 UNION SELECT doc_id, form FROM fm WHERE form < doc_id UNION SELECT form, doc_id FROM fm WHERE form < doc_id),
+rc AS (SELECT a, b FROM ed UNION SELECT rc.a, ed.b FROM rc JOIN ed ON rc.b = ed.a),
+cm AS (SELECT a AS doc_id, min(b) AS component FROM rc GROUP BY 1),
+cl AS (SELECT cm.doc_id, dense_rank() OVER (ORDER BY component) AS cluster_id, quality AS label FROM cm LEFT JOIN labels USING (doc_id))"""
 
 
 def leak_inputs(spark, sf):
-    docs = materialize(split_rows(spark, sf, norm=True).select("doc_id", "norm", "label", "split", "pred"), "split")
-    pairs = materialize(families.leakage_pairs(docs, vectors(spark, sf)), "leaks")
-    return docs, pairs
+    all_ = materialize(documents(spark, sf).select("doc_id", "norm"), "normal")
+    point = similarity.forms(all_).withColumnRenamed("doc_id", "pid")
+    docs = split_rows(spark, sf).select("doc_id", "label", "split", "pred").join(all_.withColumnRenamed("doc_id", "nid"), F.col("doc_id") == F.col("nid")).join(point, F.col("doc_id") == F.col("pid"))
+    docs = materialize(docs.select("doc_id", "norm", "form", "label", "split", "pred"), "split")
+    v = similarity.tfidf(similarity.classes(all_), copies="copies")
+    return docs, v, materialize(families.form_pairs(docs, v), "leaks")
 
 
 @query("t23_char_ngrams", f"WITH {D}, {VECS} SELECT doc_id, count(*) AS n_distinct, CAST(sum(tf) AS BIGINT) AS n_grams FROM tf GROUP BY 1")
@@ -38,40 +49,64 @@ def t23(spark, sf):
 
 @query("t25_tfidf", f"WITH {D}, {VECS} SELECT doc_id, count(*) AS n_terms, round(max(w), 6) AS max_weight, round(sum(w), 4) AS total_weight FROM v GROUP BY 1")
 def t25(spark, sf):
-    v = vectors(spark, sf)
+    d = materialize(documents(spark, sf).select("doc_id", "norm"), "normal")
     w = F.transform("vec", lambda e: e["w"])
-    return v.select("doc_id", F.size("vec").cast("long").alias("n_terms"), F.round(F.array_max(w), 6).alias("max_weight"), F.round(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), 4).alias("total_weight"))
+    v = similarity.tfidf(similarity.classes(d), copies="copies").select(F.col("doc_id").alias("f"), F.size("vec").cast("long").alias("n_terms"), F.round(F.array_max(w), 6).alias("max_weight"), F.round(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), 4).alias("total_weight"))
+    return similarity.forms(d).join(v, F.col("form") == F.col("f")).select("doc_id", "n_terms", "max_weight", "total_weight")
 
 
-@query("j5_exact_cross_pairs", f"WITH {D}, {LAB}, {SPLIT} SELECT x.doc_id AS test_id, y.doc_id AS train_id FROM sp x JOIN sp y ON x.norm = y.norm AND x.norm <> '' WHERE x.split = 'test' AND y.split = 'train'")
+@query("j5_exact_cross_matches", f"WITH {D}, {LAB}, {SPLIT} SELECT x.doc_id AS test_id, count(*) AS n_train, min(y.doc_id) AS first_train_id FROM sp x JOIN sp y ON x.norm = y.norm AND x.norm <> '' WHERE x.split = 'test' AND y.split = 'train' GROUP BY 1")
 def j5(spark, sf):
+    """The train side is one row a normal form, so copies aren't multiplied."""
     s = split_rows(spark, sf, norm=True).where("norm <> ''").select("doc_id", "norm", "split")
-    a, b = s.where("split = 'test'").select(F.col("doc_id").alias("test_id"), "norm"), s.where("split = 'train'").select(F.col("doc_id").alias("train_id"), "norm")
-    return a.join(b, "norm").select("test_id", "train_id")
+    b = s.where("split = 'train'").groupBy("norm").agg(F.count("*").alias("n_train"), F.min("doc_id").alias("first_train_id"))
+    return s.where("split = 'test'").select(F.col("doc_id").alias("test_id"), "norm").join(b, "norm").drop("norm")
 
 
-@query("j6_leakage_pairs", f"{BASE} SELECT test_id, train_id, round(similarity, 5) AS similarity, match_kind, test_label, train_label, CAST(length(tn_) AS BIGINT) AS test_norm_chars, CAST(length(rn_) AS BIGINT) AS train_norm_chars, round(least(length(tn_), length(rn_)) / CAST(greatest(length(tn_), length(rn_)) AS DOUBLE), 6) AS length_ratio FROM lp")
+@query("j6_leakage_pairs", f"{BASE} SELECT test_id, train_id, round(similarity, 5) AS similarity, match_kind, test_label, train_label, CAST(length(tn_) AS BIGINT) AS test_norm_chars, CAST(length(rn_) AS BIGINT) AS train_norm_chars, round(least(length(tn_), length(rn_)) / CAST(greatest(length(tn_), length(rn_)) AS DOUBLE), 6) AS length_ratio FROM lp ORDER BY lp.similarity DESC, test_id, train_id")
 def j6(spark, sf):
-    _, pairs = leak_inputs(spark, sf)
-    return pairs.select("test_id", "train_id", F.round("similarity", 5).alias("similarity"), "match_kind", "test_label", "train_label", "test_norm_chars", "train_norm_chars", F.round("length_ratio", 6).alias("length_ratio"))
+    docs, _, pairs = leak_inputs(spark, sf)
+    return families.leakage_pairs(docs, pairs).select("test_id", "train_id", F.round("similarity", 5).alias("similarity"), "match_kind", "test_label", "train_label", "test_norm_chars", "train_norm_chars", F.round("length_ratio", 6).alias("length_ratio"))
+
+
+def _all(spark, sf):
+    """Documents with normal form and form, and all similar pairs of forms."""
+    docs = materialize(with_all(spark, sf).select("doc_id", "norm", "label"), "labelled")
+    docs = materialize(docs.join(similarity.forms(docs).withColumnRenamed("doc_id", "pid"), F.col("doc_id") == F.col("pid")).drop("pid"), "forms")
+    ids = similarity.eligible(docs).where("doc_id = form").select(F.col("doc_id").alias("e"))
+    v = similarity.tfidf(similarity.classes(docs), copies="copies")
+    return docs, v, v.join(ids, F.col("doc_id") == F.col("e"), "left_semi")
 
 
-@query("j7_similar_pairs")  # SQL over all pairs is too slow; the join is tested against brute force
+@query("j7_similar_pairs", f"{ALL}, cp AS (SELECT form, count(*) AS c FROM fe GROUP BY 1), ot AS (SELECT a, sum(c) AS n FROM (SELECT a, b FROM pr UNION ALL SELECT b, a FROM pr) JOIN cp ON form = b GROUP BY 1) SELECT doc_id, fe.form AS class_id, CAST(c - 1 + coalesce(n, 0) AS BIGINT) AS n_links FROM fe JOIN cp USING (form) LEFT JOIN ot ON ot.a = fe.form")
 def j7(spark, sf):
-    docs = documents(spark, sf)
-    v = similarity.tfidf(docs).join(similarity.eligible(docs).select("doc_id"), "doc_id", "left_semi")
-    return similarity.similar_pairs(v, 0.9).select("a", "b", F.round("similarity", 5).alias("similarity"))
+    """A row a document: its class (equal normal forms) and how many others are similar; copies aren't paired."""
+    docs, _, v = _all(spark, sf)
+    return families.link_counts(docs, similarity.similar_pairs(v, 0.9))
 
 
-@query("j8_nearest_train", f"{BASE} SELECT doc_id, label, fuzzy_eligible, round(max_train_similarity, 5) AS max_train_similarity, nearest_train_id, nearest_kind, same_label_as_nearest FROM nr")
+@query("j7_class_pairs", f"{ALL} SELECT a, b, round(s, 5) AS similarity FROM pr")
+def j7p(spark, sf):
+    """The links of j7_similar_pairs between the classes' representatives."""
+    return similarity.similar_pairs(_all(spark, sf)[2], 0.9).select("a", "b", F.round("similarity", 5).alias("similarity"))
+
+
+@query("j8_nearest_train", f"""{BASE}, fz AS (SELECT x.doc_id AS test_id, y.doc_id AS train_id, y.label AS train_label, sum(a.w * b.w) AS s FROM sp x JOIN v a ON a.doc_id = x.doc_id JOIN v b ON b.term = a.term JOIN sp y ON y.doc_id = b.doc_id WHERE x.split = 'test' AND y.split = 'train' AND length(x.norm) >= 30 AND length(y.norm) >= 30 GROUP BY 1, 2, 3),
+fb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY round(s, 9) DESC, train_id) AS r FROM fz) WHERE r = 1)
+SELECT nr.doc_id, nr.label, fuzzy_eligible, round(CASE WHEN nearest_kind = 'normalized_exact' THEN 1.0 ELSE least(fb.s, 1.0) END, 5) AS max_train_similarity, CASE WHEN nearest_kind = 'normalized_exact' THEN nearest_train_id ELSE fb.train_id END AS nearest_train_id,
+CASE WHEN nearest_kind = 'normalized_exact' THEN nearest_kind WHEN fb.s IS NOT NULL THEN 'fuzzy_nearest' ELSE 'none' END AS nearest_kind, coalesce(CASE WHEN nearest_kind = 'normalized_exact' THEN same_label_as_nearest ELSE nr.label = fb.train_label END, false) AS same_label_as_nearest FROM nr LEFT JOIN fb ON fb.test_id = nr.doc_id""")
 def j8(spark, sf):
-    docs, pairs = leak_inputs(spark, sf)
-    return families.nearest_train(docs, pairs).withColumn("max_train_similarity", F.round("max_train_similarity", 5))
+    """Every test document's nearest train document, at any similarity."""
+    docs, v, pairs = leak_inputs(spark, sf)
+    best = families.nearest_forms(docs, v, pairs)
+    return families.nearest_train(docs, pairs, best).withColumn("max_train_similarity", F.round("max_train_similarity", 5))
 
 
-@query("j9_nearest_neighbours")  # SQL over all pairs is too slow; the join is tested against brute force
+@query("j9_nearest_neighbours", f"{ALL} SELECT a, b, round(s, 5) AS similarity, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) AS r FROM (SELECT a, b, s FROM pr UNION ALL SELECT b, a, s FROM pr)) WHERE r <= 25")
 def j9(spark, sf):
-    return similarity.nearest(similarity.both_ways(j7(spark, sf)), fixed.NEIGHBOURS).select("a", "b", "similarity", "rank")
+    """Between representatives of classes; a document's class is in j7_similar_pairs."""
+    p = similarity.similar_pairs(_all(spark, sf)[2], 0.9).withColumn("similarity", F.round("similarity", 9))
+    return similarity.nearest(similarity.both_ways(p), fixed.NEIGHBOURS).select("a", "b", F.round("similarity", 5).alias("similarity"), "rank")
 
 
 @query("a5_leakage_summary", f"""{BASE}, th AS (SELECT unnest([0.90, 0.95, 0.98]::DOUBLE[]) AS threshold), nt AS (SELECT *, coalesce(max_train_similarity >= threshold - 1e-8, false) AS leaked FROM nr, th),
@@ -83,7 +118,7 @@ coalesce(max(pairs), 0) AS cross_split_pairs, coalesce(max(cross_pairs), 0) AS c
 round(count(*) FILTER (WHERE leaked) / CAST(count(*) AS DOUBLE), 6) AS test_leakage_rate, round(count(*) FILTER (WHERE label = 1 AND leaked) / CAST(nullif(count(*) FILTER (WHERE label = 1), 0) AS DOUBLE), 6) AS positive_test_leakage_rate, round(count(*) FILTER (WHERE label = 0 AND leaked) / CAST(nullif(count(*) FILTER (WHERE label = 0), 0) AS DOUBLE), 6) AS negative_test_leakage_rate
 FROM nt LEFT JOIN pt USING (threshold) GROUP BY 1""")
 def a5(spark, sf):
-    docs, pairs = leak_inputs(spark, sf)
+    docs, _, pairs = leak_inputs(spark, sf)
     return rounded(families.leakage_summary(docs, families.nearest_train(docs, pairs), pairs))
 
 
@@ -99,7 +134,7 @@ c AS (SELECT count(*) AS n_test_all, count(*) FILTER (WHERE NOT fl) AS n_test_cl
 SELECT n_test_all, n_test_clean, n_test_flagged, {', '.join(f"round(CASE WHEN n_test_{p} > 0 THEN {m[k]} END, 6) AS {p}_{k}" for p, m in (('all', MA), ('clean', MC), ('flagged', MF)) for k in metrics.MAIN)},
 round(CASE WHEN n_test_clean > 0 THEN {MC['accuracy']} - {MA['accuracy']} END, 6) AS clean_minus_all_accuracy, round(CASE WHEN n_test_clean > 0 THEN {MC['macro_f1']} - {MA['macro_f1']} END, 6) AS clean_minus_all_macro_f1 FROM c""")
 def a11(spark, sf):
-    docs, pairs = leak_inputs(spark, sf)
+    docs, _, pairs = leak_inputs(spark, sf)
     near = families.nearest_train(docs, pairs).select("doc_id", F.coalesce(F.col("max_train_similarity") >= 0.9 - fixed.TOLERANCE, F.lit(False)).alias("flagged"))
     p = docs.where("split = 'test'").select("doc_id", F.col("label").alias("gold"), "pred").join(near, "doc_id")
     return rounded(metrics.sensitivity(p, "flagged"))
@@ -113,58 +148,55 @@ def g1(spark, sf):
 
 
 def _edges(spark, sf):
-    docs = materialize(with_all(spark, sf).select("doc_id", "norm", "label"), "labelled")
-    return docs, materialize(families.cluster_edges(docs, similarity.tfidf(docs)), "edges")
+    docs, v, _ = _all(spark, sf)
+    return docs, materialize(families.cluster_edges(docs, v), "edges")
 
 
-@query("g3_clusters")  # SQL over all pairs is too slow; the join is tested against brute force
+@query("g3_clusters", f"{ALL}, {CLUSTERS.format(t=0.95)} SELECT CAST(0.95 AS DOUBLE) AS threshold, cluster_id, doc_id, label FROM cl")
 def g3(spark, sf):
     docs, edges = _edges(spark, sf)
     return families.clusters(edges, docs, 0.95)
 
 
-@query("g8_cluster_summary")  # SQL over all pairs is too slow; the join is tested against brute force
+@query("g8_cluster_summary", f"{ALL}, {CLUSTERS.format(t=0.9)} SELECT CAST(0.9 AS DOUBLE) AS threshold, cluster_id, count(*) AS cluster_size, count(*) FILTER (WHERE label = 0) AS label_0, count(*) FILTER (WHERE label = 1) AS label_1, min(doc_id) AS min_doc_id, CASE WHEN count(*) FILTER (WHERE label = 0) = 0 OR count(*) FILTER (WHERE label = 1) = 0 THEN 1 ELSE 0 END AS label_pure FROM cl GROUP BY 2")
 def g8(spark, sf):
     docs, edges = _edges(spark, sf)
     return families.cluster_summary(families.clusters(edges, docs, 0.9))
 
 
 def _families(spark, sf):
-    docs = materialize(with_all(spark, sf).select("doc_id", "norm", "label"), "labelled")
-    v = similarity.tfidf(docs).join(similarity.eligible(docs).select("doc_id"), "doc_id", "left_semi")
+    docs, _, v = _all(spark, sf)
     pairs = similarity.similar_pairs(v, fixed.FAMILY_THRESHOLD)
     fam = materialize(families.families(docs, pairs), "families")
-    return docs, pairs, fam
+    return docs, fam, families.family_pairs(fam, pairs)
 
 
-@query("g4_complete_link_families")
+@query("g4_complete_link_families")  # agglomeration by rank isn't SQL; tested against a dense version
 def g4(spark, sf):
-    return _families(spark, sf)[2]
+    return _families(spark, sf)[1].select("member", "family")
 
 
 @query("g6_medoids")
 def g6(spark, sf):
-    docs, pairs, fam = _families(spark, sf)
-    return rounded(families.medoids(fam, families.family_pairs(fam, pairs, docs), docs, F.col("norm") != ""))
+    docs, fam, inner = _families(spark, sf)
+    return rounded(families.medoids(fam, inner, docs, F.col("norm") != ""))
 
 
-@query("g7_complete_link_check", "SELECT CAST(0 AS BIGINT) AS n_below")
+@query("g7_complete_link_check")
 def g7(spark, sf):
-    docs, pairs, fam = _families(spark, sf)
-    inner = families.family_pairs(fam, pairs, docs)
-    return inner.agg(F.count_if(~F.coalesce(F.col("similarity") >= fixed.FAMILY_THRESHOLD - 1e-6, F.lit(False))).alias("n_below"))
+    _, fam, inner = _families(spark, sf)
+    return families.link_check(fam, inner)
 
 
 @query("g9_retained")
 def g9(spark, sf):
-    docs, pairs, fam = _families(spark, sf)
-    reps = families.medoids(fam, families.family_pairs(fam, pairs, docs), docs, F.col("norm") != "")
-    return families.retained(docs, fam, reps).select("doc_id", "family_size", "retained")
+    docs, fam, inner = _families(spark, sf)
+    return families.retained(docs, fam, families.medoids(fam, inner, docs, F.col("norm") != "")).select("doc_id", "family_size", "retained")
 
 
 @query("o9_largest_families")
 def o9(spark, sf):
-    fam = _families(spark, sf)[2]
+    fam = _families(spark, sf)[1]
     return fam.groupBy("family").agg(F.count("*").alias("family_size")).orderBy(F.desc("family_size"), "family").limit(20)
 
 

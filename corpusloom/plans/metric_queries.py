@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import length, metrics
+from ..operators import length, metrics, validate
 from .base import LAB, RAW, SPLIT, cells_sql, labelled, metric_sql, query, ratio_sql, rounded, split_rows
 from .session import table
 
@@ -110,6 +110,13 @@ def j11(spark, sf):
     return rounded(metrics.deltas_pp(pub, rep, ["lang"], ["accuracy"]))
 
 
+@query("a43_record_set", f"WITH {RAW}, {LAB}, a AS (SELECT lang, {cells_sql('label', 'pred')} FROM lab GROUP BY 1), b AS (SELECT lang, {cells_sql('label', 'toxic')} FROM lab GROUP BY 1) SELECT 'length' AS model, lang, round({M['accuracy']}, 6) AS accuracy, round({M['f1_class1']}, 6) AS f1_class1, CAST(1 AS BIGINT) AS repeats FROM a UNION ALL SELECT 'toxic', lang, round({M['accuracy']}, 6), round({M['f1_class1']}, 6), CAST(1 AS BIGINT) FROM b")
+def a43(spark, sf):
+    """Records of all models and languages, each once."""
+    one = lambda model, pred: metrics.evaluate(labelled(spark, sf), "lang", gold="label", pred=pred).select(F.lit(model).alias("model"), "lang", "accuracy", "f1_class1")
+    return rounded(validate.assemble([one("length", "pred"), one("toxic", "toxic")], "model", "lang"))
+
+
 @query("a38_majority", f"WITH {RAW}, {LAB}, {SPLIT} SELECT label FROM sp WHERE split = 'train' GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1")
 def a38(spark, sf):
     return metrics.majority(split_rows(spark, sf).where("split = 'train'"), "label")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -38,13 +39,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is absent (a local session, as in tests) a temporary
-    folder is made, set as the checkpoint folder and removed at exit.
+    Only where the setting is absent in a local session, as in tests, a temporary
+    folder is made, set as the checkpoint folder and removed at exit; on a cluster
+    its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = _own.get(spark.sparkContext.applicationId)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="corpusloom-")
         _own[spark.sparkContext.applicationId] = found
         atexit.register(shutil.rmtree, found, ignore_errors=True)
@@ -61,6 +65,15 @@ def work_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
 
 
+def local_path(uri: str) -> str:
+    """The mounted path of a shared-folder URI."""
+    if m := re.match(r"file:(?://[^/]*)?(/.*)", uri):
+        return m[1]
+    if re.match(r"[a-zA-Z][\w+.-]+:", uri):
+        raise ValueError(f"{uri}: indexes are memory-mapped, so spark.checkpoint.dir must be a mounted path")
+    return uri
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a work folder through Spark's own file system client."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -208,10 +208,43 @@ def f19(spark, sf):
     return validate.bad_spans(d, "s", "e", "chars").select("doc_id")
 
 
-@query("f21_rates_match", "SELECT 0.0::DOUBLE AS max_gap, true AS ok")
+@query("f21_rates_match", "WITH g AS (SELECT toxic, count(*) FILTER (WHERE quality = 1) / CAST(count(*) AS DOUBLE) AS x FROM labels GROUP BY 1) SELECT digits, round(max(abs(x - CASE WHEN digits = 3 THEN round(x, 3) ELSE x END)), 9) AS max_gap, max(abs(x - CASE WHEN digits = 3 THEN round(x, 3) ELSE x END)) < 1e-8 AS ok FROM g, (VALUES (3), (15)) AS v(digits) GROUP BY 1")
 def f21(spark, sf):
-    g = table(spark, sf, "labels").groupBy("toxic").agg(F.count_if(F.col("quality") == 1).alias("n"), F.count("*").alias("t"))
-    return validate.rates_match(g.withColumn("r", F.col("n") / F.col("t")), "n", "t", "r")
+    """Rates stored with three digits against counts, and with all digits."""
+    g = table(spark, sf, "labels").groupBy("toxic").agg(F.count_if(F.col("quality") == 1).alias("n"), F.count("*").alias("t")).withColumn("x", F.col("n") / F.col("t"))
+    one = lambda digits, x: validate.rates_match(g.withColumn("r", x), "n", "t", "r").select(F.lit(digits).alias("digits"), F.round("max_gap", 9).alias("max_gap"), "ok")
+    return one(3, F.round("x", 3)).unionByName(one(15, F.col("x")))
+
+
+@query("f10_label_counts", "SELECT quality AS label, count(*) AS n, CAST(CASE quality WHEN 0 THEN 150 ELSE 249 END AS BIGINT) AS expected, count(*) = CASE quality WHEN 0 THEN 150 ELSE 249 END AS ok FROM labels GROUP BY 1")
+def f10(spark, sf):
+    return validate.label_counts(table(spark, sf, "labels"), "quality", {0: 150, 1: 249})
+
+
+@query("j3_one_to_one", "SELECT (SELECT count(*) FROM documents) AS left_rows, (SELECT count(*) FROM labels) AS right_rows, (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)) AS repeated_left, (SELECT count(*) FROM (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1)) AS repeated_right, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS unmatched, (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1)) = 0 AS ok")
+def j3(spark, sf):
+    return validate.one_to_one(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
+
+
+@query("t31_canonical_json", """SELECT n_nationkey, '{"n_name":' || to_json(n_name) || ',"n_regionkey":' || n_regionkey || '}' AS canonical, sha256('{"n_name":' || to_json(n_name) || ',"n_regionkey":' || n_regionkey || '}') AS hash FROM nation""")
+def t31(spark, sf):
+    names = ["n_regionkey", "n_name"]
+    return table(spark, sf, "nation").select("n_nationkey", text.canonical_json(names).alias("canonical"), text.canonical_hash(names).alias("hash"))
+
+
+@query("f22_frozen_codes", """WITH j AS (SELECT '{' || string_agg(to_json(n_name) || ':' || to_json('region ' || n_regionkey), ',' ORDER BY n_name) || '}' AS j, count(*) AS n FROM nation) SELECT n, sha256(j) AS sha256, n = 25 AND sha256(j) = 'none' AS ok FROM j""")
+def f22(spark, sf):
+    """A code book whose hash isn't the frozen one."""
+    e = table(spark, sf, "nation").select(F.col("n_name").alias("key"), F.concat(F.lit("region "), F.col("n_regionkey")).alias("value"))
+    return validate.frozen(e, 25, "none")
+
+
+@query("t28_alias_lists", "WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN ['u', 'a', 's'] ELSE [CASE role WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 's' END, 'a', 'u'] END AS l FROM conversations) SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS names FROM l")
+def t28(spark, sf):
+    alias = {"user": "u", "human": "u", "assistant": "a", "bot": "a", "system": "s", "tool": "s"}
+    c = table(spark, sf, "conversations")
+    listed = F.when(F.col("turn") % 5 == 4, F.concat("role", F.lit(", ALL"))).otherwise(F.concat(F.upper("role"), F.lit(" ,, Bot,human"), F.lit(",assistant")))
+    return c.select("conv_id", "turn", F.array_join(text.resolve_aliases(listed, alias, ["u", "a", "s"]), ",").alias("names"))
 
 
 # duplicates and set operations
@@ -222,11 +255,26 @@ def a2(spark, sf):
     return families.duplicate_rows(table(spark, sf, "documents"), "text")
 
 
-@query("a3_exact_duplicate_groups", f"WITH {D} SELECT sha256(norm) AS normalized_sha256, count(*) AS group_size, count(*) FILTER (WHERE quality = 0) AS label_0, count(*) FILTER (WHERE quality = 1) AS label_1, string_agg(CAST(d.doc_id AS VARCHAR), ';' ORDER BY d.doc_id) AS ids, CASE WHEN count(*) FILTER (WHERE quality = 0) = 0 OR count(*) FILTER (WHERE quality = 1) = 0 THEN 1 ELSE 0 END AS label_pure FROM d LEFT JOIN labels USING (doc_id) WHERE norm <> '' GROUP BY 1 HAVING count(*) > 1")
+@query("a3_exact_duplicate_groups", f"WITH {D} SELECT sha256(norm) AS normalized_sha256, count(*) AS group_size, count(*) FILTER (WHERE quality = 0) AS label_0, count(*) FILTER (WHERE quality = 1) AS label_1, min(d.doc_id) AS min_doc_id, CASE WHEN count(*) FILTER (WHERE quality = 0) = 0 OR count(*) FILTER (WHERE quality = 1) = 0 THEN 1 ELSE 0 END AS label_pure FROM d LEFT JOIN labels USING (doc_id) WHERE norm <> '' GROUP BY 1 HAVING count(*) > 1")
 def a3(spark, sf):
     return families.exact_groups(with_all(spark, sf))
 
 
+@query("a3_group_members", f"WITH {D} SELECT normalized_sha256, doc_id FROM (SELECT sha256(norm) AS normalized_sha256, doc_id, count(*) OVER (PARTITION BY norm) AS n FROM d WHERE norm <> '') WHERE n > 1")
+def a3m(spark, sf):
+    return families.group_members(documents(spark, sf))
+
+
+@query("t30_id_lists", "SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), ';' ORDER BY l_linenumber) AS ids FROM lineitem GROUP BY 1")
+def t30(spark, sf):
+    return families.id_list(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber")
+
+
+@query("t30_split_ids", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS doc_id FROM lineitem")
+def t30s(spark, sf):
+    return families.split_ids(t30(spark, sf))
+
+
 def _sides(spark, sf):
     l = labelled(spark, sf, norm=True)
     return l.where("doc_id % 2 = 0"), l.where("doc_id % 2 = 1")
@@ -283,9 +331,12 @@ def j14(spark, sf):
 
 @query("j16_text_match", f"WITH {RAW}, {LAB} SELECT a.doc_id AS id_a, min(b.doc_id) AS id_b FROM lab a JOIN lab b ON a.text = b.text AND a.doc_id <> b.doc_id WHERE a.label = 1 AND b.label = 1 GROUP BY 1")
 def j16(spark, sf):
-    l = labelled(spark, sf).where("label = 1")
-    a, b = l.select(F.col("doc_id").alias("id_a"), "text", text.sha256(F.col("text")).alias("h")), l.select(F.col("doc_id").alias("id_b"), F.col("text").alias("t2"), text.sha256(F.col("text")).alias("h2"))
-    return a.join(b, (F.col("h") == F.col("h2")) & (F.col("text") == F.col("t2")) & (F.col("id_a") != F.col("id_b"))).groupBy("id_a").agg(F.min("id_b").alias("id_b"))
+    """The smallest other document of the same text, from the two smallest ids of each text."""
+    l = labelled(spark, sf).where("label = 1").select("doc_id", text.sha256(F.col("text")).alias("h"))
+    first = l.groupBy(F.col("h").alias("h1")).agg(F.min("doc_id").alias("m1"))
+    l = l.join(first, F.col("h") == F.col("h1"))
+    second = l.where("doc_id > m1").groupBy(F.col("h").alias("h2")).agg(F.min("doc_id").alias("m2"))
+    return l.join(second, F.col("h") == F.col("h2")).select(F.col("doc_id").alias("id_a"), F.when(F.col("doc_id") == F.col("m1"), F.col("m2")).otherwise(F.col("m1")).alias("id_b"))
 
 
 @query("x1_stratified_split", f"WITH {RAW}, {LAB}, {SPLIT} SELECT doc_id, label, split FROM sp")
@@ -293,6 +344,13 @@ def x1(spark, sf):
     return split_rows(spark, sf).select("doc_id", "label", "split")
 
 
+@query("g10_canonical_corpus", f"WITH {D}, {LAB}, {SPLIT}, a AS (SELECT * FROM sp WHERE label = 1 AND doc_id % 2 = 0), b AS (SELECT text, max(doc_id) AS second_id FROM sp WHERE label = 1 GROUP BY 1) SELECT doc_id AS first_id, sha256(a.text) AS text_sha256, trim(a.norm) <> '' AS clean_nonempty, CAST(length(a.norm) AS BIGINT) AS norm_chars, sha256(a.norm) AS norm_sha256, second_id, a.split = 'test' AS in_first_test, second_id IN (SELECT doc_id FROM sp WHERE split = 'test') AS in_second_test FROM a JOIN b USING (text)")
+def g10(spark, sf):
+    s = split_rows(spark, sf, norm=True).where("label = 1").withColumn("clean", F.col("norm"))
+    test = split_rows(spark, sf).where("split = 'test'").select("doc_id")
+    return families.canonical(s.where("doc_id % 2 = 0"), s, [test, test])
+
+
 @query("x1_split_sizes", f"WITH {RAW}, {LAB}, {SPLIT} SELECT label, n, n_test FROM sz")
 def x1s(spark, sf):
     from ..operators.splits import test_sizes

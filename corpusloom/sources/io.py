@@ -7,6 +7,7 @@ import platform
 import zipfile
 from xml.etree import ElementTree
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,6 +115,43 @@ def read_project(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInArrow(run, out)
 
 
+def read_word2vec(spark: SparkSession, path: str, rows: int = 4096) -> DataFrame:
+    """(token, vector) of a binary word2vec file on a mounted path: a header "n dim", then a word, a space and dim 32-bit floats each.
+
+    The format has no index, so one task streams the file, rows words at a time.
+    """
+
+    def run(_):
+        with open(path, "rb") as f:
+            n, dim = map(int, f.readline().split())
+            words, vectors = [], []
+            for i in range(n):
+                w = bytearray()
+                while (c := f.read(1)) not in (b" ", b""):
+                    if c != b"\n":  # some writers end each vector with one
+                        w += c
+                raw = f.read(4 * dim)
+                if len(raw) < 4 * dim:
+                    raise ValueError(f"{path} ends in word {i} of {n}")
+                words.append(w.decode("utf-8", "replace"))
+                vectors.append(np.frombuffer(raw, "<f4"))
+                if len(words) == rows or i == n - 1:
+                    flat = pa.array(np.concatenate(vectors))
+                    yield pa.RecordBatch.from_arrays([pa.array(words), pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * dim, pa.int32()), flat)], names=["token", "vector"])
+                    words, vectors = [], []
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "token string, vector array<float>")
+
+
+def save_model(model, path: str) -> None:
+    """A fitted spark.ml model or pipeline, replacing an earlier one."""
+    model.write().overwrite().save(path)
+
+
+def load_model(cls, path: str):
+    return cls.load(path)
+
+
 def runtime(spark: SparkSession) -> dict:
     """Versions and settings for a run's record."""
     conf = spark.sparkContext.getConf()
@@ -126,9 +164,9 @@ def manifest(records: DataFrame, digits: int = 6) -> DataFrame:
     return records.select(F.struct(*cols).alias("r")).agg(F.to_json(F.array_sort(F.collect_list("r"))).alias("records"))
 
 
-def report(rows: DataFrame, title: str, limit: int = 1000) -> str:
-    """A Markdown table of a few result rows."""
-    got = rows.limit(limit).collect()
+def report(rows: DataFrame, title: str) -> str:
+    """A Markdown table of all result rows, fetched partition by partition."""
+    got = rows.toLocalIterator()
     lines = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
     lines += ["| " + " | ".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in got]
     return "\n".join(lines) + "\n"

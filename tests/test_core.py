@@ -217,3 +217,112 @@ def test_registry_names():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert "a3_exact_duplicate_groups" in e.queries()
+
+
+def test_copies_are_one_class(spark):
+    base = " ".join(f"token{i} other{i}" for i in range(30))
+    rows = [(i, base) for i in range(3000)] + [(3000, base.replace("token7", "tokens7")), (3001, "nothing alike " * 5), (3002, ""), (3003, "")]
+    df = spark.createDataFrame(rows, "doc_id long, norm string")
+    docs = df.join(similarity.forms(df).withColumnRenamed("doc_id", "p"), F.col("doc_id") == F.col("p")).drop("p")
+    pairs = similarity.similar_pairs(similarity.tfidf(similarity.classes(df), copies="copies"), 0.9)
+    assert [(r["a"], r["b"]) for r in pairs.collect()] == [(0, 3000)]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in families.link_counts(docs, pairs).collect()}
+    assert got[5] == (0, 3000) and got[3000] == (3000, 3000) and got[3001] == (3001, 0) and 3002 not in got
+    fam = families.families(docs, pairs, 0.9)
+    inner = families.family_pairs(fam, pairs)
+    assert tuple(families.link_check(fam, inner, 0.9).first()) == (3001 * 3000 // 2, 0, True)
+    m = families.medoids(fam, inner, docs, F.col("norm") != "").collect()
+    assert [(r["family_size"], r["representative"]) for r in m] == [(3001, 0)]
+    kept = families.retained(docs, fam, families.medoids(fam, inner, docs, F.col("norm") != "")).where("retained").select("doc_id").collect()
+    assert sorted(r[0] for r in kept) == [0, 3001, 3002, 3003]
+
+
+def test_leakage_by_forms_equals_pairs_of_documents(spark):
+    rng = np.random.default_rng(8)
+    base = [" ".join(rng.choice([f"word{i}" for i in range(60)], 25)) for _ in range(12)]
+    texts = [base[i % 12] if i % 3 else base[i % 12].replace(" word1 ", " extra ") for i in range(60)] + ["short", "short", ""]
+    rows = [(i, t, i % 2, "test" if i % 5 == 0 else "train") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, norm string, label int, split string")
+    docs = df.join(similarity.forms(df).withColumnRenamed("doc_id", "p"), F.col("doc_id") == F.col("p")).drop("p")
+    vec = similarity.tfidf(similarity.classes(df), copies="copies")
+    w = {r[0]: {e["term"]: e["w"] for e in r[1]} for r in vec.collect()}
+    form = {r["doc_id"]: r["form"] for r in docs.collect()}
+    sim = lambda a, b: 1.0 if texts[a] == texts[b] else sum(x * w.get(form[b], {}).get(t, 0) for t, x in w.get(form[a], {}).items())
+    ok = lambda a, b: (texts[a] == texts[b] and texts[a]) or (min(len(texts[a]), len(texts[b])) >= 30 and sim(a, b) >= 0.9 - 1e-8)
+    test, train = [r[0] for r in rows if r[3] == "test"], [r[0] for r in rows if r[3] == "train"]
+    want = {(a, b) for a in test for b in train if ok(a, b)}
+    pairs = families.form_pairs(docs, vec)
+    got = families.leakage_pairs(docs, pairs).collect()
+    assert {(r["test_id"], r["train_id"]) for r in got} == want and len(got) == len(want) > 0
+    assert [(-r["similarity"], r["test_id"], r["train_id"]) for r in got] == sorted((-r["similarity"], r["test_id"], r["train_id"]) for r in got)
+    near = families.nearest_train(docs, pairs, families.nearest_forms(docs, vec, pairs))
+    s = {r["threshold"]: r for r in families.leakage_summary(docs, near, pairs).collect()}
+    assert s[0.9]["cross_split_pairs"] == len(want) and s[0.9]["cross_label_pair_count"] == sum((a + b) % 2 for a, b in want)
+    for r in near.collect():
+        a = r["doc_id"]
+        if len(texts[a]) < 30 and not any(texts[a] == texts[b] for b in train):
+            assert r["nearest_kind"] == "none" and r["max_train_similarity"] is None
+        else:
+            best = max(sim(a, b) for b in train if texts[a] == texts[b] or len(texts[b]) >= 30)
+            assert abs(r["max_train_similarity"] - best) < 1e-9
+
+
+def test_complete_link_equals_a_dense_version():
+    def dense(n, sims, t):
+        s = np.full((n, n), -1.0)
+        for (i, j), v in sims.items():
+            s[i, j] = s[j, i] = v
+        groups = {i: [i] for i in range(n)}
+        np.fill_diagonal(s, -2)
+        while len(groups) > 1:
+            i, j = sorted(divmod(int(np.argmax(s)), n))
+            if s[i, j] < t - 1e-10:
+                break
+            groups[i] += groups.pop(j)
+            s[i] = np.minimum(s[i], s[j])
+            s[:, i] = s[i]
+            s[j], s[:, j], s[i, i] = -2, -2, -2
+        return sorted(sorted(g) for g in groups.values())
+
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        n = int(rng.integers(2, 25))
+        sims = {(i, j): float(np.round(rng.uniform(0.9, 1), 2)) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.6}
+        assert families.complete_link(n, sims, 0.93) == dense(n, sims, 0.93)
+
+
+def test_word2vec_and_report(spark, tmp_path):
+    with open(f"{tmp_path}/v.bin", "wb") as f:
+        f.write(b"3 2\n")
+        for w, v in (("một", [1, 2]), ("b", [3, 4]), ("c d", [5, 6])):
+            f.write(w.replace(" ", "_").encode() + b" " + np.array(v, "<f4").tobytes() + b"\n")
+    got = io.read_word2vec(spark, f"{tmp_path}/v.bin", rows=2).collect()
+    assert [(r["token"], r["vector"]) for r in got] == [("một", [1, 2]), ("b", [3, 4]), ("c_d", [5, 6])]
+    assert io.report(spark.range(1500).toDF("n"), "x").count("\n") == 1504
+
+
+def test_aliases_frozen_codes_and_joins(spark):
+    alias = {"a": "x", "b": "y", "c": "x"}
+    assert column(spark, [" A ,b,c,,", "b, ALL", None], lambda c: text.resolve_aliases(c, alias, ["x", "y"])) == [["x", "y"], ["x", "y"], None]
+    with pytest.raises(Exception, match="unknown name z"):
+        column(spark, ["z"], lambda c: text.resolve_aliases(c, alias, ["x", "y"]))
+    import hashlib
+
+    book = {"k": 'v"1', "é": "w}"}
+    sha = hashlib.sha256(json.dumps(book, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    df = spark.createDataFrame(list(book.items()), "key string, value string")
+    assert tuple(validate.frozen(df, 2, sha).first()) == (2, sha, True)
+    one, two = spark.createDataFrame([(1,), (2,), (2,)], "k int"), spark.createDataFrame([(1,), (3,)], "k int")
+    assert tuple(validate.one_to_one(one, two, "k").first()) == (3, 2, 1, 0, 2, False)
+    assert {tuple(r) for r in validate.label_counts(one, "k", {1: 1, 2: 1, 5: 2}).collect()} == {(1, 1, 1, True), (2, 2, 1, False), (5, 0, 2, False)}
+    assert sorted(r["repeats"] for r in validate.assemble([one, two], "k").collect()) == [1, 2, 2, 2, 2]
+
+
+def test_corpus_fingerprint_is_the_sequential_hash(spark):
+    import hashlib
+
+    rows = [(i * 7 % 50, f"s{i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, sha string").repartition(4)
+    want = hashlib.sha256("\n".join(f"{i}\t{s}" for i, s in sorted(rows)).encode()).hexdigest()
+    assert topics.fingerprint(df, "doc_id", "sha").first()[0] == want
+    assert topics.fingerprint(df.limit(0), "doc_id", "sha").first()[0] is None
