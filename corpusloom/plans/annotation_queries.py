@@ -192,7 +192,8 @@ def a21(spark, sf):
 def probs(spark, sf):
     """Topic distributions of whole texts: five shares, of the tokens whose length leaves 0 to 4 when divided by five (and one more each)."""
     toks = raw_documents(spark, sf).select("doc_id", tokens(F.col("text")).alias("k"))
-    raw = [(F.size(F.filter("k", lambda t, j=j: F.length(t) % 5 == j)) + 1).cast("double") for j in range(5)]
+    left = lambda j: lambda t: F.length(t) % 5 == j
+    raw = [(F.size(F.filter("k", left(j))) + 1).cast("double") for j in range(5)]
     return toks.select("doc_id", F.array(*raw).alias("r")).select("doc_id", F.transform("r", lambda x: x / F.aggregate("r", F.lit(0.0), lambda a, y: a + y)).alias("p"))
 
 
