@@ -3,13 +3,13 @@
 Words are what ASCII case folding leaves of runs of digits, letters and
 non-ASCII bytes. Benchmark items are cut into windows of 13 words (a shorter
 item is one window) and written, in blocks of bounded size, to the shared
-folder. One pass over the documents then treats each Arrow batch as a shard: it
+folder. One pass over the documents then treats each slice of a batch as a shard: it
 sorts a suffix array of the shard's word positions, binary-searches every test
 suffix in it, and extends equal windows to verbatim matches. A position can
 only start a window if as many words of the benchmark's vocabulary follow it as
 the shortest window has, so other positions are left out of the array; no match
 is lost by that. Documents are never shuffled, and of the benchmark a worker
-holds one block at a time.
+holds blocks of HELD bytes, or one at a time if they are larger.
 
 Defined results: a null or wordless text has no words and no hits; a null item
 text has no windows; repeated item rows count once for each item id; a null
@@ -33,6 +33,7 @@ from .common import add_columns, in_task, local_path, texts_of
 
 WINDOW = 13
 BLOCK_WORDS = 500_000
+HELD = 64_000_000
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 MATCHES = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("item_start", T.LongType()), T.StructField("n_words", T.LongType())]))
@@ -163,12 +164,18 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
 
     def make():
         cache: dict[str, dict] = {}
+        held = 0
 
         def block_of(name: str) -> dict:
+            nonlocal held
             if name not in cache:
-                cache.clear()
                 with open(f"{path}/{name}", "rb") as f:
-                    cache[name] = pickle.load(f)
+                    raw = f.read()
+                if held + len(raw) > HELD:
+                    cache.clear()
+                    held = 0
+                cache[name] = pickle.loads(raw)
+                held += len(raw)
             return cache[name]
 
         def fn(batch):
