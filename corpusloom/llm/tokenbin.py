@@ -13,7 +13,7 @@ happens where the text is read; only compressed frames are shuffled, to the
 file their id falls in by quantiles of the ids.
 
 Defined results: a null or empty text is its end id alone; repeated ids are
-written side by side in order of their ids' bytes; a null id sorts first; an
+written side by side in order of their compressed frames; a null id sorts first; an
 empty table writes no file.
 """
 
@@ -199,10 +199,19 @@ def write_corpus(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc_id"
     where = local_path(folder)
     files = files or max(1, tasks(docs))
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    cuts = sorted(set(ids.select(F.percentile_approx("doc_id", [i / files for i in range(1, files)] or [0.5], 10_000)).first()[0] or []))
-    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    dealt = frames(ids.withColumn("file", F.when(F.col("doc_id").isNull(), 0).otherwise(at)), path, end_id, keep=["file", "doc_id"])
-    dealt = dealt.repartitionById(files, "file").sortWithinPartitions("file", "doc_id", "frame")
+    cuts = sorted(set(ids.select(F.percentile_approx("doc_id", [i / files for i in range(1, files)] or [0.5], max(10_000, 20 * files))).first()[0] or []))
+    bounds = np.array(cuts, np.int64)
+
+    def deal():
+        def fn(batch):
+            doc = batch.column(batch.schema.get_field_index("doc_id"))
+            at = np.searchsorted(bounds, doc.fill_null(0).to_numpy(), "left").astype(np.int32)
+            return [pa.array(np.where(np.asarray(doc.is_valid()), at, 0).astype(np.int32))]
+
+        return fn
+
+    dealt = add_columns(frames(ids, path, end_id, keep=["doc_id"]), [T.StructField("file", T.IntegerType())], deal)
+    dealt = dealt.select("file", "doc_id", "n_tokens", "frame", "check").repartitionById(files, "file").sortWithinPartitions("file", "doc_id", "frame")
 
     def run(batches):
         from itertools import chain, groupby
