@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -62,7 +63,24 @@ _own: dict[str, str] = {}
 
 def work_dir(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+    for made in _watched:
+        made.append(path)
+    return path
+
+
+_watched: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def created():
+    """The work folders named while the context is open, in order, so that a caller can remove what it no longer needs."""
+    made: list[str] = []
+    _watched.append(made)
+    try:
+        yield made
+    finally:
+        _watched.remove(made)
 
 
 def local_path(uri: str) -> str:
