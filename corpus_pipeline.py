@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from corpusloom.llm import bpe, decontam, langid, simhash, suffixdedup
 from corpusloom.llm.common import Store, add_columns, local_path, store_rows, tasks
-from corpusloom.plans.session import materialize, table, work_dir
+from corpusloom.plans.session import created, materialize, remove, table, work_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -108,8 +108,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Once a stage is written, what it made on the way and the stage before go."""
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with created() as made:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        for path in last + made[:-1]:
+            remove(spark, path)
+        last = made[-1:]  # the stage's own table is written last
     return docs
