@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression
@@ -39,14 +41,17 @@ def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.join(F.broadcast(w), F.col(label) == F.col("l")).drop("l")
 
 
-def word_features(rows: DataFrame, text: str = "text", out: str = "terms") -> DataFrame:
-    """Word 1- and 2-grams of tokens of two or more word characters."""
+def word_features(rows: DataFrame, text: str = "text", out: str = "terms", lo: int = 1, hi: int = 2) -> DataFrame:
+    """Word lo- to hi-grams of tokens of two or more word characters."""
     toks = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    return rows.withColumn(out, word_ngrams(toks))
+    return rows.withColumn(out, word_ngrams(toks, lo, hi))
+
 
+def tfidf_features(train: DataFrame, rows: DataFrame, min_df: int = 1, vocab: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Unit tf-idf vectors (raw counts times smooth idf + 1) for training rows and others; idf of the training rows.
 
-def tfidf_features(train: DataFrame, rows: DataFrame, min_df: int = 2, vocab: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
-    """Unit tf-idf vectors (raw counts times smooth idf + 1; spark.ml has no logarithm of sparse counts) for training rows and others; idf of the training rows."""
+    vocab is the models' own max_features: of more terms the most frequent stay.
+    """
     cv = CountVectorizer(inputCol="terms", outputCol="tf", minDF=min_df, vocabSize=vocab).fit(train)
     n = train.count()
     df = cv.copy({cv.getParam("binary"): True}).transform(train)
@@ -78,6 +83,38 @@ def grid(train: DataFrame, kind: str = "lr", regs=(0.001, 0.01, 0.1), fold: str
     return train.sparkSession.createDataFrame([(float(r), float(m), i + 1) for i, (r, m) in enumerate(rows)], "reg double, mean_macro_f1 double, rank int")
 
 
+def search(train: DataFrame, kind: str = "svm", ngrams=((1, 2),), vocabs=(10_000,), cs=(1.0, 10.0), text: str = "text", label: str = "label", fold: str = "fold") -> DataFrame:
+    """(lo, hi, vocab, c, mean_macro_f1, rank): a grid search over the rows' folds, best first, ties to the earlier point.
+
+    Features are fitted anew on each fold's training part. c weighs the sum of losses
+    against half the squared weights, as in regParam = 1 / (c * rows) without
+    standardising. The defaults are the linear SVM's grid; that of logistic regression
+    is ngrams ((1, 1), (1, 2)), vocabs (1000, 5000, 10000), cs (0.1, 0.5, 1, 2, 10).
+    """
+    k = train.select(F.max(fold)).first()[0] + 1
+    scores: dict[tuple, list[float]] = {}
+    for lo, hi in ngrams:
+        terms = word_features(train, text, lo=lo, hi=hi).select(label, fold, "terms").cache()
+        for vocab in vocabs:
+            for f in range(k):
+                fit = class_weights(terms.where(F.col(fold) != f), label)
+                a, b = (x.select(label, "features", *(["weight"] if "weight" in x.columns else [])).cache() for x in tfidf_features(fit, terms.where(F.col(fold) == f), vocab=vocab))
+                n = a.count()
+
+                def one(c, a=a, b=b, n=n):
+                    est = text_model(kind, 1.0 / (c * max(1, n)), label).setStandardization(False)
+                    return MacroF1(label).evaluate(est.fit(a).transform(b))
+
+                with ThreadPoolExecutor(len(cs)) as pool:
+                    for c, s in zip(cs, pool.map(one, cs), strict=True):
+                        scores.setdefault((lo, hi, vocab, float(c)), []).append(s)
+                a.unpersist(), b.unpersist()
+        terms.unpersist()
+    order = sorted(((p, float(np.mean(s))) for p, s in scores.items()), key=lambda x: -x[1])
+    rows = [(*p, m, i + 1) for i, (p, m) in enumerate(order)]
+    return train.sparkSession.createDataFrame(rows, "lo int, hi int, vocab int, c double, mean_macro_f1 double, rank int")
+
+
 def length_models(train: DataFrame, test: DataFrame, label: str = "label", chars: str = "chars", toks: str = "toks") -> DataFrame:
     """(model, doc_id, gold, pred, score) of every length-only model: majority, logistic regression on one or both lengths, a shallow tree."""
     sides = [x.select("doc_id", F.col(label).cast("int").alias("gold"), F.log1p(F.col(chars).cast("double")).alias("c"), F.log1p(F.col(toks).cast("double")).alias("t")) for x in (train, test)]

@@ -179,6 +179,14 @@ def l1(spark, sf):
     return rounded(metrics.evaluate(out, "model", gold="label"))
 
 
+@query("l3_macro_f1", f"WITH {RAW}, {LAB}, c AS (SELECT {cells_sql('label', 'pred')} FROM lab) SELECT round({M['macro_f1']}, 6) AS macro_f1 FROM c")
+def l3(spark, sf):
+    """The scorer that the searches use."""
+    from ..operators.classify import MacroF1
+
+    return spark.createDataFrame([(round(MacroF1("label", "pred").evaluate(labelled(spark, sf)), 6),)], "macro_f1 double")
+
+
 @query("a42_prediction_table")
 def a42(spark, sf):
     p = l4(spark, sf)

@@ -212,6 +212,16 @@ def test_code_names_cover_every_row(spark, tmp_path):
     assert got == {(o, n, f"n{c % 30}" if c % 30 < 25 else None) for o, n, c in rows}
 
 
+def test_grid_search_ranks_points(spark):
+    from corpusloom.operators import classify
+
+    rows = [(" ".join(f"{'good' if i % 2 else 'poor'}word{(i * 7 + j) % 5} same{j}" for j in range(4)), i % 2, i // 2 % 3) for i in range(36)]
+    df = spark.createDataFrame(rows, "text string, label int, fold int")
+    got = classify.search(df, "lr", ((1, 1),), (2, 50), (1.0, 10.0)).collect()
+    assert [r["rank"] for r in got] == [1, 2, 3, 4] and got[0]["mean_macro_f1"] == 1.0 and got[0]["vocab"] == 50
+    assert min(r["mean_macro_f1"] for r in got) < 1.0
+
+
 def test_registry_names():
     import __spark_entry__ as e
 
