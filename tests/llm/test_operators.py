@@ -1,8 +1,12 @@
 """The pipeline operators against brute force, exact round trips and hard inputs."""
 
 import hashlib
+import math
 import os
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -196,18 +200,165 @@ def test_language_accuracy_and_ties(spark):
     assert got[:4] == ["und", "und", "yy", "und"] and got[4] != "und"
 
 
-def test_kneser_ney_sums_to_one(spark):
-    df = spark.createDataFrame([(1, "a b a b c"), (2, "b c"), (3, None)], "doc_id long, text string")
+def plain_kneser_ney(texts):
+    """An interpolated modified Kneser-Ney pair model in dictionaries: prob(before, word)."""
+    words, pairs = Counter(), Counter()
+    for t in texts:
+        ws = [*t.lower().split(), "\n"]
+        words.update(ws)
+        pairs.update(zip([None, *ws[:-1]], ws, strict=True))
+
+    def loss(counts):
+        n = [sum(c == k for c in counts) for k in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
+        out = [0.0]
+        for k in (1, 2, 3):
+            a, b = n[k], n[k + 1]
+            out.append(min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) if a and b else (0.5, 1.0, 1.4)[k - 1])
+        return out
+
+    cont = Counter(w for _, w in pairs)
+    d1, d2, v = loss(cont.values()), loss(pairs.values()), len(words)
+    rest = sum(d1[min(c, 3)] for c in cont.values()) / len(pairs)
+
+    def prob(before, w):
+        low = max(cont[w] - d1[min(cont[w], 3)], 0) / len(pairs) + rest / (v + 1)
+        after = {x: c for (b, x), c in pairs.items() if b == before}
+        if not after:
+            return low
+        total, c = sum(after.values()), after.get(w, 0)
+        return max(c - d2[min(c, 3)], 0) / total + sum(d2[min(x, 3)] for x in after.values()) / total * low
+
+    return prob, words
+
+
+def test_kneser_ney_equals_a_plain_model_and_sums_to_one(spark):
+    r = random.Random(9)
+    texts = [" ".join(r.choice("a b c d e f g".split()[: 1 + i % 7]) for _ in range(r.randint(0, 12))) for i in range(25)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     m = lmscore.train(df)
-    vocab = ["a", "b", "c"]
-    probs = {}
-    for w in [*vocab, "unknown", ""]:
-        s = lmscore.score(spark.createDataFrame([(1, f"a {w}".strip())], "doc_id long, text string"), m).first()
-        probs[w] = s["score"]
-    ends = lmscore.score(spark.createDataFrame([(1, w) for w in ("a", "a a", "a b", "a c", "a unknown")], "doc_id long, text string"), m).collect()
-    assert all(x["score"] < 0 and x["base_score"] < 0 for x in ends)
-    assert probs["b"] > probs["unknown"]
-    assert ends[0]["n_tokens"] == 2 and m["tokens"] == 10 and m["words"] == 4
+    prob, words = plain_kneser_ney(texts)
+    assert m["tokens"] == sum(words.values()) and m["words"] == len(words)
+    for before in [None, *words, "unseen"]:
+        assert abs(sum(prob(before, w) for w in [*words, "unseen"]) - 1) < 1e-12
+    probes = [*texts, "a unseen b", "G A unseen unseen c", ""]
+    got = lmscore.score(spark.createDataFrame(list(enumerate(probes)), "doc_id long, text string"), m).collect()
+    n, v = sum(words.values()), len(words)
+    for x in got:
+        ws = [*probes[x["doc_id"]].lower().split(), "\n"]
+        assert x["score"] == pytest.approx(sum(math.log10(prob(b, w)) for b, w in zip([None, *ws[:-1]], ws, strict=True)))
+        assert x["base_score"] == pytest.approx(sum(math.log10((words[w] + 1) / (n + v + 1)) for w in ws))
+        assert (x["n_tokens"], x["n_known"]) == (len(ws), sum(w in words for w in ws))
+
+
+def test_language_scores_equal_a_plain_version(spark):
+    r = random.Random(6)
+    alphabets = {"xx": "abcde", "yy": "cdefg", "zz": "éßabc"}
+    word = lambda a: "".join(r.choice(a) for _ in range(r.randint(1, 6)))
+    docs = [(i, " ".join(word(alphabets[k]) for _ in range(r.randint(1, 9))), k) for i in range(60) for k in (["xx", "yy", "zz"][i % 3],)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    langs, seen = sorted(alphabets), {}
+    for i, t, k in docs:
+        if zlib.crc32(str(i).encode()) % 5:
+            for w in t.split():
+                seen.setdefault(0, {}).setdefault(w, Counter())[k] += 1
+                for o in langid.ORDERS:
+                    for g in langid.grams(w, o):
+                        seen.setdefault(o, {}).setdefault(g, Counter())[k] += 1
+    total = {o: {k: sum(c[k] for c in items.values()) + 0.1 * len(items) for k in langs} for o, items in seen.items()}
+    logs = lambda o, x: [math.log((seen[o][x][k] + 0.1) / total[o][k]) for k in langs]
+
+    def row(w):
+        if w in seen[0]:
+            return logs(0, w)
+        for o in langid.ORDERS:
+            known = [logs(o, g) for g in langid.grams(w, o) if g in seen[o]]
+            if known:
+                return [sum(x) / len(known) for x in zip(*known, strict=True)]
+        return [0.0] * len(langs)
+
+    probes = [(i, " ".join(word("abcdefgéßq") for _ in range(r.randint(1, 8)))) for i in range(80)]
+    got = langid.identify(spark.createDataFrame(probes, "doc_id long, text string"), langid.train(df)).collect()
+    for x in got:
+        sums = [sum(c) for c in zip(*map(row, x["text"].split()), strict=True)]
+        best = max(sums)
+        assert x["score"] == pytest.approx(1 / sum(math.exp(s - best) for s in sums))
+        assert x["lang_pred"] == langs[sums.index(best)] or x["score"] < 0.51
+    few = langid.Scorer(langid.train(df), limit=10)
+    assert few.predict([t for _, t in probes])[0] == [x["lang_pred"] for x in sorted(got, key=lambda x: x["doc_id"])]
+
+
+def slow_scan(text):
+    """The license scan in plain loops: labels, score, and the base columns."""
+    ws = re.findall(licenses.WORD, (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    places, base = [], set()
+    for phrase, label in licenses.PHRASES.items():
+        p = phrase.split()
+        found = [i for i in range(len(ws) - len(p) + 1) if ws[i : i + len(p)] == p]
+        places += found
+        base |= {label} if found else set()
+    line = re.sub(" licence(?= )", " license", " " + " ".join(ws) + " ")
+    hits = []
+    for i, rule in enumerate(licenses.RULES):
+        if set(rule["keys"]) <= set(ws):
+            hits += [(m.start(), m.end(), rule["level"], i, rule["label"], rule["weight"]) for m in re.finditer(rule["rx"], line)]
+    order = sorted(hits, key=lambda h: (h[0], -h[1], -h[2], h[3]))
+    kept = [h for k, h in enumerate(order) if not any(o[0] <= h[0] and o[1] >= h[1] and o[2] >= h[2] for o in order[:k])]
+    return len(ws), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | {h[4] for h in kept})), max((h[5] for h in kept), default=0.0)
+
+
+def test_license_scan_equals_a_slow_matcher(spark):
+    r = random.Random(12)
+    parts = ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Redistribution and use in source and binary forms, with or without modification, are permitted", "GPLv3", "the GNU General Public License, version 2", "SPDX-License-Identifier: Apache-2.0", "MIT licence", "CC BY-SA 4.0", "licensed under the terms of the Mozilla Public License 2.0", "gnu lesser general public license", "all rights reserved", "www.apache.org/licenses/LICENSE-2.0", "cc by cc by", "plain words here", "apache license mit license", "é ß"]
+    rows = [(i, None if i == 0 else r.choice([" ", ", ", ". "]).join(r.choice(parts) for _ in range(r.randint(0, 7)))) for i in range(150)]
+    got = {x["doc_id"]: tuple(x)[2:] for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).drop("detections").collect()}
+    for i, t in rows:
+        assert got[i] == slow_scan(t), t
+    one = lambda t: slow_scan(t)[5]
+    assert (one(parts[0]), one(parts[1]), one("under GPLv3 now")) == ("mit", "bsd", "gpl-3.0")
+
+
+def test_groups_of_fingerprints_equal_all_pairs(spark):
+    r = random.Random(8)
+    base = [[f"w{r.randrange(50)}" for _ in range(40)] for _ in range(10)]
+    rows = []
+    for _ in range(80):
+        ws = list(r.choice(base))
+        if r.random() < 0.5:
+            ws[r.randrange(40)] = "x"
+        rows.append((r.choice([None, *range(40)]), None if r.random() < 0.1 else " ".join(ws)))
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    fps = sorted({simhash.fingerprint(t.encode() if t else None) for _, t in rows})
+    comp = {f: f for f in fps}
+    for a in fps:
+        for b in fps:
+            if ((a ^ b) & (2**64 - 1)).bit_count() <= 2 and comp[a] != comp[b]:
+                old, new = comp[a], comp[b]
+                comp = {f: new if c == old else c for f, c in comp.items()}
+    least = {}
+    for i, t in rows:
+        if i is not None:
+            c = comp[simhash.fingerprint(t.encode() if t else None)]
+            least[c] = min(i, least.get(c, i))
+    want = [(i, simhash.fingerprint(t.encode() if t else None)) for i, t in rows]
+    assert sorted((str(x["doc_id"]), x["fp"], str(x["component_id"])) for x in got) == sorted((str(i), f, str(least.get(comp[f]))) for i, f in want)
+
+
+def test_similar_groups_find_pairs_as_computed(spark):
+    r = random.Random(10)
+    rows, pairs = [], []
+    for k in range(120):
+        ws = [f"v{r.randrange(9000)}" for _ in range(r.randint(60, 300))]
+        other = list(ws)
+        for _ in range(max(1, len(ws) // 90)):
+            other[r.randrange(len(ws))] = "changed"
+        a, b = simhash.shingle_set(" ".join(ws).encode()), simhash.shingle_set(" ".join(other).encode())
+        pairs.append(simhash.jaccard(a, b))
+        rows += [(2 * k, " ".join(ws)), (2 * k + 1, " ".join(other))]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    found = [got[2 * k + 1] == 2 * k for k in range(120)]
+    assert not any(f for f, s in zip(found, pairs, strict=True) if s < 0.8)
+    assert sum(f for f, s in zip(found, pairs, strict=True) if s >= 0.8) >= 0.96 * sum(s >= 0.8 for s in pairs) > 50
 
 
 def test_embedding_links_equal_brute_force(spark):
@@ -227,6 +378,87 @@ def test_embedding_links_equal_brute_force(spark):
     assert not got[None]["kept"]
 
 
+@pytest.mark.parametrize("dim", [64, 768])
+@pytest.mark.parametrize("common", [0.0, 1.5])
+def test_embedding_recall_just_above_the_threshold(spark, dim, common):
+    rng = np.random.default_rng(1)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(unit(rng.standard_normal((400, dim))) + common * unit(rng.standard_normal(dim)))
+    side = rng.standard_normal((400, dim))
+    side = unit(side - (side * x).sum(1, keepdims=True) * x)
+    cos = rng.uniform(0.901, 0.92, (400, 1))
+    v = np.concatenate([x, cos * x + np.sqrt(1 - cos**2) * side])
+    sim = v @ v.T >= 0.9
+    np.fill_diagonal(sim, False)
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(v.tolist())], "vec_id long, embedding array<double>").repartition(3)
+    got = {r["vec_id"]: r["n_links"] for r in embdedup.near_duplicates(df).collect()}
+    have = np.array([got[i] for i in range(len(v))])
+    assert (have <= sim.sum(1)).all() and have.sum() >= 0.9 * sim.sum()
+
+
+def test_url_rules_equal_plain_python(spark):
+    r = random.Random(3)
+    hosts = ["com", "Example.COM", "a.example.com", "net", "b.example.net", "xexample.net", "org", "c.org", "", "h.de"]
+    urls = [None, "no host", "://", "a://b://example.com/en/7"]
+    urls += ["http://" + r.choice(hosts) + r.choice(["", "/", "/en/", "/en/7", "/en/70", "/de/8", "/de/", "/es/x", "/EN/7", "/en?x=/de/", "#/es/", "/de/8/9?q#f"]) for _ in range(300)]
+    got = urlfilter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)).collect()
+    assert len(got) == len(urls)
+    for x in got:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", urls[x["page_id"]] or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        best = None
+        for kind, rule in urlfilter.RULES:
+            h, _, p = rule.partition("/")
+            if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[1])):
+                best = (kind, rule)
+        assert (x["host"], x["path"], x["rule"]) == (host, path, best and best[1])
+        assert best is None or x["verdict"] == best[0]
+
+
+def test_callers_columns_keep_their_values(spark):
+    odd = ["shape", "ruled", "rejected", "th", "ts", "__w", "__k", "_", "kept_0", "a.b"]
+    rows = [(i, "the mit license", f"http://a.net/de/{i}", [1.0, float(i)], *[f"{c}{i}" for c in odd]) for i in range(6)]
+    df = spark.createDataFrame(rows, ["page_id", "text", "url", "embedding", *odd]).repartition(2)
+    for out in (urlfilter.filter_urls(df), licenses.scan(df.drop("a.b"))):
+        for x in out.collect():
+            assert all(x[c] == f"{c}{x['page_id']}" for c in odd if c in out.columns)
+    assert {"shape", "ruled"} <= set(urlfilter.filter_urls(df).columns)
+    path = bpe.default_path("word_bpe_49k.json")
+    items = spark.createDataFrame([(1, "the mit license")], "item_id long, text string")
+    d = df.drop("a.b").withColumnRenamed("page_id", "doc_id")
+    for out in (bpe.digest(d, path), decontam.find_contamination(d, items), langid.identify(d, {"langs": []}), suffixdedup.remove_repeats(d)):
+        assert all(x["shape"] == f"shape{x['doc_id']}" for x in out.collect())
+    assert embdedup.near_duplicates(df.withColumnRenamed("page_id", "vec_id").drop("a.b")).count() == 6
+
+
+def test_hard_pages_and_vectors(spark):
+    urls = [(1, None), (1, None), (2, "http://a.net/" + "x" * 5000), (2, "http://a.net/" + "x" * 5000), (None, "http://a.net/" + "/" * 300), (3, "http://a.net//" + "%20" * 900)]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    assert urlfilter.filter_urls(df).count() == 6 and urlfilter.filter_urls(df.limit(0)).count() == 0
+    vecs = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (1, [-1.0, 0.5]), (2, [2.0, 4.0]), (3, [1.0, None]), (4, None), (None, [1.0, 2.0]), (5, [0.0, -0.0]), (6, [1.0, 2.0, 0.0])]
+    v = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
+    got = sorted((str(x["vec_id"]), x["n_links"], str(x["component_id"])) for x in embdedup.near_duplicates(v).collect())
+    assert got == sorted([("1", 2, "1"), ("1", 2, "1"), ("1", 0, "1"), ("2", 2, "1"), ("3", 0, "3"), ("4", 0, "4"), ("None", 0, "None"), ("5", 0, "5"), ("6", 0, "6")])
+    assert embdedup.near_duplicates(v.limit(0)).count() == 0
+
+
+def test_encoders_equal_the_library_on_the_documents(spark):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r[0]: r[1] or "" for r in docs.collect()}
+    word, byte = (Tokenizer.from_file(bpe.default_path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    for x in bpe.digest(docs, bpe.default_path("word_bpe_49k.json")).collect():
+        ids = word.encode(texts[x["doc_id"]], add_special_tokens=False).ids
+        assert x["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert x["decoded_sha256"] == hashlib.sha256(word.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    start = 0
+    for x in sorted(tokenbin.read_corpus(tokenbin.write_corpus(docs, bpe.default_path("byte_bpe_50k.json"), 2, files=3)).collect(), key=lambda x: x["doc_id"]):
+        ids = [*byte.encode(texts[x["doc_id"]], add_special_tokens=False).ids, 2]
+        assert (x["start"], x["n_tokens"], x["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_url_rules_and_templates(spark):
     urls = [(i, f"http://a.example.net/de/{i}") for i in range(40)] + [(100, "https://A.example.net/de/80?x"), (101, "http://example.com/en/7x#y"), (102, "com/en/1"), (103, None), (104, "http://b.com/en/"), (105, "http://a.example.net/fr/5")]
     r = {x["page_id"]: x for x in urlfilter.filter_urls(spark.createDataFrame(urls, "page_id long, url string")).collect()}
@@ -296,3 +528,18 @@ def test_pipeline_on_hard_rows(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted((x["doc_id"] or 0) for x in out.select("doc_id").collect()) == [0, 4, 6, 7]
     assert out.where(F.size("ids") != F.col("n_tokens")).count() == 0
+
+
+def test_pipeline_on_empty_and_unlabelled_tables(spark, tmp_path):
+    import corpus_pipeline
+    from corpusloom.plans.session import local_path, shared_dir
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, "the mit license")], "item_id long, text string").write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    spark.createDataFrame([(1, "some words without a label", None, "s", 26), (2, "other words here", None, "s", 16)], schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    assert sorted(x["doc_id"] for x in corpus_pipeline.run(spark, f"{tmp_path}/a").collect()) == [1, 2]
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/documents.parquet")
+    before = set(os.listdir(local_path(shared_dir(spark))))
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+    assert [x.split("-")[:2] for x in set(os.listdir(local_path(shared_dir(spark)))) - before] == [["stage", "tokens"]]
