@@ -15,9 +15,9 @@ shingles gets TABLES independent fingerprints of BITS bits, each with a ball of
 own, and colliding pairs are verified by the exact Jaccard similarity of their
 sets. Two sets at similarity s differ in a bit with probability
 p = arccos(2 s / (1 + s)) / pi, so a table brings them together with probability
-P(Binomial(BITS, p) <= RADIUS), and one of TABLES does with 0.97 at 0.80, 0.997 at
+P(Binomial(BITS, p) <= RADIUS), and one of TABLES does with 0.96 at 0.80, 0.995 at
 0.85 and 0.9999 at 0.90; a group needs only some of its pairs. Unrelated sets meet
-in a variant with density N (BITS + 1) / 2^BITS, which is what BITS is for: 0.013
+in a variant with density N (BITS + 1) / 2^BITS, which is what BITS is for: 0.025
 for 240,000 sets; add two bits, and half as many tables again, for each four-fold
 growth beyond tens of millions.
 
@@ -49,8 +49,8 @@ from .common import U64, add_columns, drop_folder, in_task, local_path, mix64, s
 RADIUS = 2
 CHUNK = 1 << 15
 SHINGLE, SIMILARITY = 5, 0.8
-BITS, TABLES = 29, 20
-APART = 170  # of 580 bits: more than nine standard deviations from unrelated sets, and from similar ones
+BITS, TABLES = 28, 16
+APART = 131  # of 448 bits: more than eight standard deviations from unrelated sets, and from similar ones
 CACHE = 32_000_000
 
 
@@ -241,12 +241,22 @@ def verified(pairs: DataFrame, classes: DataFrame, folder: str, similarity: floa
     return materialize(close.repartition("a").sortWithinPartitions("a_place").mapInArrow(in_task(run), "a long, b long"), "simhash-links")
 
 
+def _apart(met: DataFrame, links: DataFrame) -> DataFrame:
+    """(variant, class, component, n) of the variants whose sets are in several components; n is how many sets they have."""
+    comp = materialize(connected_components(links), "simhash-components")
+    placed = met.join(comp, F.col("class") == F.col("node"), "left").select("variant", "class", F.coalesce("component", "class").alias("component"))
+    same = Window.partitionBy("variant")
+    placed = placed.withColumns({"lo": F.min("component").over(same), "hi": F.max("component").over(same), "n": F.count("*").over(same)})
+    return materialize(placed.where("lo <> hi").select("variant", "class", "component", "n"), "simhash-apart")
+
+
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) for every row; see the module for what is found.
 
-    Within a variant every set is compared with the smallest one first; then only
-    sets that are in different components so far are compared with one another, so a
-    large group of copies costs a comparison a member and no link is lost.
+    Every set is first compared with the smallest one that it meets in any variant;
+    then, variant by variant, one set of each component so far with the smallest one;
+    then all that are still in different components. So a large group of copies costs
+    about a comparison a member, and no link is lost.
     """
     spark = docs.sparkSession
     folder = local_path(work_dir(spark, "shingles"))
@@ -256,17 +266,21 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spread = classes.select("class", "prints").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "class").select("class", F.posexplode("prints").alias("t", "f"))
     spread = spread.select("class", F.shiftleft(F.col("t").cast("long"), 32).bitwiseOR(F.col("f").cast("long")).alias("f")).select("class", F.explode(F.transform(masks, lambda m: F.col("f").bitwiseXOR(m))).alias("variant"))
     same = Window.partitionBy("variant")
-    met = spread.withColumns({"first": F.min("class").over(same), "n": F.count("*").over(same)}).where("n > 1").select("variant", "class", "first", "n")
+    met = spread.withColumns({"first": F.min("class").over(same), "n": F.count("*").over(same)}).where("n > 1").select("variant", "class", "first")
     met = materialize(met, "simhash-met")
-    star = materialize(met.where("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct(), "simhash-pairs")
-    links = verified(star, classes, folder, similarity)
-    comp = materialize(connected_components(links), "simhash-components")
-    placed = met.where("n > 2").join(comp, F.col("class") == F.col("node"), "left").select("variant", "class", F.coalesce("component", "class").alias("component"))
-    split = placed.groupBy(F.col("variant").alias("v")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    placed = materialize(placed.join(split, F.col("variant") == F.col("v")).select("variant", "class", "component"), "simhash-apart")
-    other = placed.select(F.col("variant").alias("v"), F.col("class").alias("c"), F.col("component").alias("o"))
-    rest = placed.join(other, (F.col("variant") == F.col("v")) & (F.col("component") < F.col("o"))).select(F.least("class", "c").alias("a"), F.greatest("class", "c").alias("b")).distinct()
-    rest = materialize(rest.join(star, ["a", "b"], "left_anti"), "simhash-pairs")
+    # every set with the smallest one that it meets anywhere
+    tried = materialize(met.groupBy(F.col("class").alias("b")).agg(F.min("first").alias("a")).where("a < b").select("a", "b"), "simhash-pairs")
+    links = verified(tried, classes, folder, similarity)
+    # in each variant, one set of every component so far with the smallest one
+    met = _apart(met.select("variant", "class"), links)
+    one = met.groupBy("variant", "component").agg(F.min("class").alias("b")).withColumn("a", F.min("b").over(same)).where("a < b").select("a", "b").distinct()
+    one = materialize(one.join(tried, ["a", "b"], "left_anti"), "simhash-pairs")
+    tried, links = tried.unionByName(one), links.unionByName(verified(one, classes, folder, similarity))
+    # what is still in different components; the one pair of two sets has been tried
+    met = _apart(met.where("n > 2").select("variant", "class"), links)
+    other = met.select(F.col("variant").alias("v"), F.col("class").alias("c"), F.col("component").alias("o"))
+    rest = met.join(other, (F.col("variant") == F.col("v")) & (F.col("component") < F.col("o"))).select(F.least("class", "c").alias("a"), F.greatest("class", "c").alias("b")).distinct()
+    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "simhash-pairs")
     comp = connected_components(links.unionByName(verified(rest, classes, folder, similarity)))
     drop_folder(folder)
     joined = materialize(classes.join(comp, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("component", "class").alias("component")), "simhash-groups")
