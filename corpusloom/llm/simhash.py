@@ -52,6 +52,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BITS, TABLES = 28, 16
 APART = 131  # of 448 bits: more than eight standard deviations from unrelated sets, and from similar ones
 CACHE = 32_000_000
+ROWS = 256  # sets of a variant that are compared with the others at once
 
 
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
@@ -161,6 +162,10 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(both) - common) if len(both) else 1.0
 
 
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    return min(len(a), len(b)) >= similarity * max(len(a), len(b)) and jaccard(a, b) >= similarity
+
+
 def write_sets(docs: DataFrame, folder: str, shingle: int) -> DataFrame:
     """(doc_id, class, place, prints) of docs (doc_id, text); sets go to a file a task. Lazy."""
 
@@ -174,11 +179,11 @@ def write_sets(docs: DataFrame, folder: str, shingle: int) -> DataFrame:
                     classes, places, prints = [], [], []
                     for t in texts_of(batch, "text"):
                         s = shingle_set(t, shingle)
-                        f.write(len(s).to_bytes(4, "little") + s.astype("<u4").tobytes())
+                        prints.append(short_prints(s))
+                        f.write(np.array([len(s), *(prints[-1] or [0] * TABLES)], "<u4").tobytes() + s.astype("<u4").tobytes())
                         classes.append(xxhash.xxh64_intdigest(s.tobytes()))
                         places.append(part << 40 | at)
-                        prints.append(short_prints(s))
-                        at += 1 + len(s)
+                        at += 1 + TABLES + len(s)
                     ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
                     yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(classes, U64).view(np.int64)), pa.array(places, pa.int64()), pa.array(prints, pa.list_(pa.int32()))], names=["doc_id", "class", "place", "prints"])
         os.replace(tmp, f"{folder}/{part}")  # whole, and the same again from a repeated task
@@ -199,20 +204,22 @@ class Sets:
             self.files[part] = os.open(f"{self.folder}/{part}", os.O_RDONLY)
         return self.files[part]
 
-    def get(self, place: int) -> np.ndarray:
+    def get(self, place: int) -> tuple[np.ndarray, np.ndarray]:
+        """The set's fingerprints and its hashes."""
         if place in self.held:
             self.held.move_to_end(place)
             return self.held[place]
         fd, at = self.file(place >> 40), 4 * (place & ((1 << 40) - 1))
         raw = os.pread(fd, 4096, at)
-        n = 4 + 4 * int.from_bytes(raw[:4], "little")
+        n = 4 * (1 + TABLES + int.from_bytes(raw[:4], "little"))
         raw = raw[:n]
         while len(raw) < n:
             raw += os.pread(fd, n - len(raw), at + len(raw))
-        s = self.held[place] = np.frombuffer(raw, "<u4", offset=4)
-        self.size += s.nbytes
+        words = np.frombuffer(raw, "<u4", offset=4)
+        s = self.held[place] = words[:TABLES], words[TABLES:]
+        self.size += 300 + words.nbytes
         while self.size > CACHE and len(self.held) > 1:
-            self.size -= self.held.popitem(last=False)[1].nbytes
+            self.size -= 300 + self.held.popitem(last=False)[1][1].nbytes + 4 * TABLES
         return s
 
     def close(self) -> None:
@@ -221,47 +228,106 @@ class Sets:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, folder: str, similarity: float) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the similarity."""
+    """The pairs (a, b) of classes, known by their sets' places, that reach the similarity."""
 
     def run(batches):
         sets = Sets(folder)
         try:
             for batch in batches:
                 keep = []
-                for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    s, o = sets.get(p), sets.get(q)
-                    keep.append(min(len(s), len(o)) >= similarity * max(len(s), len(o)) and jaccard(s, o) >= similarity)
+                for p, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    keep.append(alike(sets.get(p)[1], sets.get(q)[1], similarity))
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1)], names=["a", "b"])
         finally:
             sets.close()
 
-    of = lambda n: classes.select(F.col("class").alias(n), F.col("place").alias(f"{n}_place"), F.col("prints").alias(f"{n}_prints"))
+    of = lambda n: classes.select(F.col("class").alias(n), F.col("prints").alias(f"{n}_prints"))
     apart = F.aggregate(F.zip_with("a_prints", "b_prints", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    close = pairs.join(of("a"), "a").join(of("b"), "b").where(apart <= APART).select("a", "b", "a_place", "b_place")
-    return materialize(close.repartition("a").sortWithinPartitions("a_place").mapInArrow(in_task(run), "a long, b long"), "simhash-links")
+    close = pairs.join(of("a"), "a").join(of("b"), "b").where(apart <= APART).select("a", "b")
+    return materialize(close.repartition("a").sortWithinPartitions("a", "b").mapInArrow(in_task(run), "a long, b long"), "simhash-links")
 
 
 def _apart(met: DataFrame, links: DataFrame) -> DataFrame:
-    """(variant, class, component, n) of the variants whose sets are in several components; n is how many sets they have."""
+    """(variant, class, component) of the variants whose sets are in several components."""
     comp = materialize(connected_components(links), "simhash-components")
     placed = met.join(comp, F.col("class") == F.col("node"), "left").select("variant", "class", F.coalesce("component", "class").alias("component"))
     same = Window.partitionBy("variant")
-    placed = placed.withColumns({"lo": F.min("component").over(same), "hi": F.max("component").over(same), "n": F.count("*").over(same)})
-    return materialize(placed.where("lo <> hi").select("variant", "class", "component", "n"), "simhash-apart")
+    placed = placed.withColumns({"lo": F.min("component").over(same), "hi": F.max("component").over(same)})
+    return placed.where("lo <> hi").select("variant", "class", "component")
+
+
+def linked(met: DataFrame, folder: str, similarity: float) -> DataFrame:
+    """(a, b): links between components, of sets that share a variant, from rows (variant, class, component).
+
+    Pairs are compared where they are and never sent: each in the first variant of
+    the first table that it shares, by fingerprints first, and only while its
+    components aren't connected yet in this task.
+    """
+
+    def run(batches):
+        sets, up = Sets(folder), {}
+
+        def root(c: int) -> int:
+            while (p := up.get(c, c)) != c:
+                up[c] = up.get(p, p)
+                c = p
+            return c
+
+        def pairs(variant: int, places, comp) -> list[tuple[int, int]]:
+            t, v = variant >> 32, np.uint32(variant & 0xFFFFFFFF)
+            prints, out = np.stack([sets.get(p)[0] for p in places.tolist()]), []
+            for i in range(0, len(places), ROWS):
+                x, y = prints[i : i + ROWS], prints[i:]
+                ok = (comp[i : i + ROWS, None] != comp[None, i:]) & (np.arange(len(x))[:, None] < np.arange(len(y))[None])
+                other = x[:, t, None] ^ y[None, :, t] ^ v  # of the two variants that a pair shares, or the same if it shares a ball
+                ok &= (v < other) | ((v == other) & (x[:, t] == v)[:, None])
+                r, c = np.nonzero(ok)
+                for k in range(0, len(r), 1 << 16):
+                    a, b = r[k : k + (1 << 16)], c[k : k + (1 << 16)]
+                    apart = np.bitwise_count(x[a] ^ y[b])
+                    fine = (apart.sum(1, dtype=np.int64) <= APART) & ~(apart[:, :t] <= RADIUS).any(1)
+                    for a, b in zip((a[fine] + i).tolist(), (b[fine] + i).tolist(), strict=True):
+                        p, q = root(int(comp[a])), root(int(comp[b]))
+                        if p != q and alike(sets.get(int(places[a]))[1], sets.get(int(places[b]))[1], similarity):
+                            up[max(p, q)] = min(p, q)
+                            out.append((int(places[a]), int(places[b])))
+            return out
+
+        held = None
+        try:
+            for batch in _ended(batches):
+                cols = np.stack([c.to_numpy() for c in batch.columns]) if batch is not None else np.zeros((3, 0), np.int64)
+                cols = cols if held is None else np.concatenate([held, cols], 1)
+                cut = np.flatnonzero(np.r_[True, cols[0, 1:] != cols[0, :-1], True]) if cols.shape[1] else np.zeros(1, int)
+                whole = len(cut) - 1 if batch is None else max(0, len(cut) - 2)
+                found = [x for s, e in zip(cut[:whole], cut[1 : whole + 1], strict=True) if e - s > 1 for x in pairs(int(cols[0, s]), *cols[1:, s:e])]
+                held = cols[:, cut[whole] :]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        finally:
+            sets.close()
+
+    return materialize(met.repartition("variant").sortWithinPartitions("variant", "class").mapInArrow(in_task(run), "a long, b long"), "simhash-links")
+
+
+def _ended(batches):
+    """The batches, then None."""
+    yield from batches
+    yield None
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) for every row; see the module for what is found.
 
     Every set is first compared with the smallest one that it meets in any variant;
-    then, variant by variant, one set of each component so far with the smallest one;
-    then all that are still in different components. So a large group of copies costs
-    about a comparison a member, and no link is lost.
+    then, within each variant, sets that are still in different components. So a large
+    group of copies costs about a comparison a member, and no link is lost.
     """
     spark = docs.sparkSession
     folder = local_path(work_dir(spark, "shingles"))
     sets = materialize(write_sets(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), folder, shingle), "simhash-sets")
-    classes = materialize(sets.groupBy("class").agg(F.min("doc_id").alias("least"), F.min("place").alias("place"), F.first("prints").alias("prints")), "simhash-classes")
+    classes = sets.groupBy("class").agg(F.min("doc_id").alias("least"), F.min("place").alias("place"), F.first("prints").alias("prints"))
+    # from here on a class is the place of its set
+    classes = materialize(classes.select(F.col("class").alias("hash"), F.col("place").alias("class"), "least", "prints"), "simhash-classes")
     masks = F.array(*[F.lit(m) for m in ball(RADIUS // 2, BITS)])
     spread = classes.select("class", "prints").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "class").select("class", F.posexplode("prints").alias("t", "f"))
     spread = spread.select("class", F.shiftleft(F.col("t").cast("long"), 32).bitwiseOR(F.col("f").cast("long")).alias("f")).select("class", F.explode(F.transform(masks, lambda m: F.col("f").bitwiseXOR(m))).alias("variant"))
@@ -271,21 +337,11 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # every set with the smallest one that it meets anywhere
     tried = materialize(met.groupBy(F.col("class").alias("b")).agg(F.min("first").alias("a")).where("a < b").select("a", "b"), "simhash-pairs")
     links = verified(tried, classes, folder, similarity)
-    # in each variant, one set of every component so far with the smallest one
-    met = _apart(met.select("variant", "class"), links)
-    one = met.groupBy("variant", "component").agg(F.min("class").alias("b")).withColumn("a", F.min("b").over(same)).where("a < b").select("a", "b").distinct()
-    one = materialize(one.join(tried, ["a", "b"], "left_anti"), "simhash-pairs")
-    tried, links = tried.unionByName(one), links.unionByName(verified(one, classes, folder, similarity))
-    # what is still in different components; the one pair of two sets has been tried
-    met = _apart(met.where("n > 2").select("variant", "class"), links)
-    other = met.select(F.col("variant").alias("v"), F.col("class").alias("c"), F.col("component").alias("o"))
-    rest = met.join(other, (F.col("variant") == F.col("v")) & (F.col("component") < F.col("o"))).select(F.least("class", "c").alias("a"), F.greatest("class", "c").alias("b")).distinct()
-    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "simhash-pairs")
-    comp = connected_components(links.unionByName(verified(rest, classes, folder, similarity)))
+    comp = connected_components(links.unionByName(linked(_apart(met, links), folder, similarity)))
     drop_folder(folder)
-    joined = materialize(classes.join(comp, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("component", "class").alias("component")), "simhash-groups")
+    joined = materialize(classes.join(comp, F.col("class") == F.col("node"), "left").select("hash", "least", F.coalesce("component", "class").alias("component")), "simhash-groups")
     smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = joined.join(smallest, "component").select(F.col("class").alias("c"), "component_id")
+    by_class = joined.join(smallest, "component").select(F.col("hash").alias("c"), "component_id")
     return sets.join(by_class, F.col("class") == F.col("c")).select("doc_id", "component_id")
 
 
