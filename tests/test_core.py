@@ -336,3 +336,43 @@ def test_corpus_fingerprint_is_the_sequential_hash(spark):
     want = hashlib.sha256("\n".join(f"{i}\t{s}" for i, s in sorted(rows)).encode()).hexdigest()
     assert topics.fingerprint(df, "doc_id", "sha").first()[0] == want
     assert topics.fingerprint(df.limit(0), "doc_id", "sha").first()[0] is None
+
+
+def test_similarity_join_writes_less_than_vectors(spark):
+    """Vectors are many times their texts, so a join that writes them fills the disk; nor may a task hold all postings at once."""
+    from pathlib import Path
+
+    from corpusloom.plans import session
+
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice([*"abcdefghijklmnopqrst"], 9)) for _ in range(1500)]
+    docs = [" ".join(rng.choice(words, 400)) for _ in range(120)]
+    docs += [d.replace(" ", " and ", 4) for d in docs[:30]] + docs[:5]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, norm string").repartition(2)
+    with session.created() as made:
+        pairs = similarity.similar_pairs(similarity.tfidf(similarity.classes(df), copies="copies"), 0.9).collect()
+        written = sum(f.stat().st_size for p in made for f in Path(session.local_path(p)).rglob("*") if f.is_file())
+    assert {(r["a"], r["b"]) for r in pairs} >= {(i, 120 + i) for i in range(30)} and written < 3 * sum(map(len, docs))
+
+
+def test_postings_come_in_pieces_and_sizes_bound(monkeypatch):
+    monkeypatch.setattr(similarity, "HELD", 100)
+    n = np.array([90, 30, 250, 5, 5])
+    data = {"doc_id": np.arange(n.sum()), "w": np.ones(n.sum(), np.float16), "need": np.zeros(n.sum(), np.uint8)}
+
+    class One:
+        def shard(self, _):
+            return data
+
+    got = list(similarity._postings(One(), [(0, np.arange(5), np.cumsum(n) - n, n)], np.arange(5), np.ones(5)))
+    assert max(len(g[0]) for g in got) == 250 and sorted(np.concatenate([g[1] for g in got])) == [*range(n.sum())]
+    rng = np.random.default_rng(1)
+    x = rng.random((200, 60)) * (rng.random((200, 60)) < 0.5)
+    x[100:] = np.where(rng.random((100, 60)) < 0.85, x[:100], 0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    doc, term = np.nonzero(x)
+    need, have = similarity._sizes(200, doc, x[doc, term], 0.9)
+    a, b = np.nonzero(x @ x.T >= 0.9)
+    assert len(a) > 250 and (need[a] <= have[b]).all()
+    w = rng.random(1000) * 0.1
+    assert (similarity._up(w).astype(float) >= w).all()
