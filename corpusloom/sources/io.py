@@ -14,19 +14,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BOM = "\ufeff"
+NO_VALUE = "\ufdd0\ufdd1\ufdd0"  # noncharacters; with the default, a quoted empty text would be read as null too
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A CSV with header and quoted line breaks; a byte-order mark before the first name is dropped.
 
-    Columns are found by name; missing ones are an error, others are left out.
+    Columns are found by name; missing ones are an error, others are left out. An
+    empty field is null, a quoted empty one an empty text; white space is kept.
     """
     want = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False, nullValue=NO_VALUE)
     raw = raw.toDF(*[c.removeprefix(BOM) for c in raw.columns])
     if missing := [f.name for f in want if f.name not in raw.columns]:
         raise ValueError(f"{path}: no columns {missing}")
-    return raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in want])
+    value = lambda f: F.col(f"`{f.name}`") if isinstance(f.dataType, T.StringType) else F.nullif(F.col(f"`{f.name}`"), F.lit("")).cast(f.dataType)
+    return raw.select(*[value(f).alias(f.name) for f in want])
 
 
 def read_nonempty(df: DataFrame, text: str) -> DataFrame:
@@ -62,7 +65,8 @@ def write_jsonl(lines: DataFrame, path: str, column: str = "value") -> None:
 
 
 def write_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
-    df.write.csv(path, header=True, escape='"', compression="gzip" if gzip else "none")
+    """With header; texts as they are, white space at their ends too."""
+    df.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, compression="gzip" if gzip else "none")
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -376,3 +376,9 @@ def test_postings_come_in_pieces_and_sizes_bound(monkeypatch):
     assert len(a) > 250 and (need[a] <= have[b]).all()
     w = rng.random(1000) * 0.1
     assert (similarity._up(w).astype(float) >= w).all()
+
+
+def test_csv_keeps_texts_as_they_are(spark, tmp_path):
+    odd = [" lead", "trail ", "\n\nx\n", "\r\n", "a\r\nb", "a\rb", "", None, " ", "\t", "\x00", "\x01z\x02", "a\n", '"', '""', '\\"', "\\", "a,b"]
+    io.write_csv(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").coalesce(1), str(tmp_path / "c"), gzip=True)
+    assert {r["doc_id"]: r["text"] for r in io.read_csv(spark, str(tmp_path / "c"), "doc_id long, text string").collect()} == dict(enumerate(odd))
