@@ -355,6 +355,57 @@ def test_similarity_join_writes_less_than_vectors(spark):
     assert {(r["a"], r["b"]) for r in pairs} >= {(i, 120 + i) for i in range(30)} and written < 3 * sum(map(len, docs))
 
 
+def test_similarity_join_by_sketches(spark, monkeypatch):
+    """What the join writes at once follows the sketches, not the vectors' prefixes; pairs and figures equal brute force and the join by prefixes."""
+    from pathlib import Path
+
+    from corpusloom.plans import session
+
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice([*"abcdefghijklmnop"], 7)) for _ in range(4000)]
+    docs = [" ".join(rng.choice(words, n)) for n in rng.integers(1, 1200, 150)]
+    docs += [" ".join(w for w in d.split() if rng.random() > cut) or d for d in docs for cut in (0.02, 0.1, 0.2, 0.3)]  # from near copies to pairs around 0.9
+    docs += [docs[0] + f" and{i}" for i in range(60)] + ["", "x"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, norm string").repartition(3)
+    vec = similarity.tfidf(similarity.classes(df), copies="copies")
+    sizes = []
+
+    def remove(spark, path, drop=session.remove):
+        sizes.append(sum(f.stat().st_size for f in Path(session.local_path(path)).rglob("*") if f.is_file()))
+        drop(spark, path)
+
+    monkeypatch.setattr(similarity, "remove", remove)
+    got = {(r["a"], r["b"]): r["similarity"] for r in similarity.similar_pairs(vec, 0.9).collect()}
+    assert sizes and sum(sizes) < 0.5 * sum(map(len, docs))
+    rows = vec.collect()
+    at = {t: i for i, t in enumerate({e["term"] for r in rows for e in r["vec"]})}
+    x = np.zeros((len(docs), len(at)))
+    for r in rows:
+        x[r["doc_id"], [at[e["term"]] for e in r["vec"]]] = [e["w"] for e in r["vec"]]
+    sims = x @ x.T
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(sims >= 0.9 - 1e-8, 1)), strict=True)}
+    assert got.keys() == want and len(want) > 1900 and all(abs(got[p] - sims[p]) < 1e-9 for p in want) and sum(sims[p] < 0.93 for p in want) > 50
+    assert {(r["a"], r["b"]) for r in similarity.similar_pairs(vec, 0.9, certain=True).collect()} == want
+    left, right = (spark.createDataFrame([(i,) for i in range(k, len(docs), 3)] + [(1,)], "doc_id long") for k in (0, 1))
+    left, right = left.distinct(), right.distinct()
+    ids = [{r[0] for r in d.collect()} for d in (left, right)]
+    assert {(r["a"], r["b"]) for r in similarity.similar_pairs(vec, 0.9, left, right).collect()} == {p for a, b in want for p in ((a, b), (b, a)) if p[0] in ids[0] and p[1] in ids[1]}
+
+
+def test_sketches_hold_their_limit():
+    """Squared distances of sketches are those of the vectors on average, and stay within the limit; many near ones are found as well as few."""
+    rng = np.random.default_rng(2)
+    hashes = rng.integers(-(1 << 63), (1 << 63) - 1, 500)
+    x = rng.random((400, 500)) * (rng.random((400, 500)) < 0.3)
+    y = np.where(rng.random((400, 500)) < 0.9, x, 0)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    a, b = (similarity._sketches(400, *np.nonzero(v), v[np.nonzero(v)], hashes) for v in (x, y))
+    far, near = ((x - y) ** 2).sum(1), ((a - b) ** 2).sum(1)
+    assert abs((near / far).mean() - 1) < 0.05 and all(d <= similarity._limit(f, similarity.BITS) for f, d in zip(far, near, strict=True))
+    assert similarity._limit(0.2, 64) > similarity._limit(0.2, 192) > 0.2
+    assert np.allclose(similarity._sketches(400, *np.nonzero(x), x[np.nonzero(x)], hashes), a)
+
+
 def test_postings_come_in_pieces_and_sizes_bound(monkeypatch):
     monkeypatch.setattr(similarity, "HELD", 100)
     n = np.array([90, 30, 250, 5, 5])
