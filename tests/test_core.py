@@ -445,7 +445,7 @@ def test_normal_form_skips_only_what_finds_nothing(spark):
     assert len(rows) == len(odd) and all(r["x"] == r["y"] for r in rows)
 
 
-@pytest.mark.parametrize("name", ["a5_leakage_summary", "g4_complete_link_families"])
+@pytest.mark.parametrize("name", ["a5_leakage_summary", "g4_complete_link_families", "g6_medoids"])
 def test_join_disk_follows_packed_texts(spark, tmp_path, name):
     """What a similarity query leaves in the shared folder and shuffles: packed normal forms, and candidates' counts once."""
     from pathlib import Path
